@@ -39,10 +39,10 @@ def remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def saved(df: DataFrame, keep: bool = False) -> DataFrame:
+def saved(df: DataFrame, keep: bool = False, compression: str = "snappy") -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back: lineage ends here, and lost executors lose nothing."""
     spark, path = df.sparkSession, shared_dir(df.sparkSession)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     if not keep:
         atexit.register(remove, spark, path)
     out = spark.read.schema(df.schema).parquet(path)

@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid
+from . import decontaminate, langid, lm
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_decontaminate": decontaminate.op2_decontaminate,
+        "op3_lm_score": lm.op3_lm_score,
         "op9_langid": langid.op9_langid,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op2_decontaminate": decontaminate.ORACLE_SQL,
+    }
