@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, lm
+from . import decontaminate, embedding_dedup, langid, lm
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,10 +14,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_decontaminate": decontaminate.op2_decontaminate,
         "op3_lm_score": lm.op3_lm_score,
         "op9_langid": langid.op9_langid,
+        "op10_embedding_dedup": embedding_dedup.op10_embedding_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_decontaminate": decontaminate.ORACLE_SQL,
+        "op10_embedding_dedup": embedding_dedup.ORACLE_SQL,
     }
