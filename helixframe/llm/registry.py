@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, embedding_dedup, langid, lm
+from . import decontaminate, embedding_dedup, langid, lm, ngram_join
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_decontaminate": decontaminate.op2_decontaminate,
         "op3_lm_score": lm.op3_lm_score,
+        "op6_ngram_join": ngram_join.op6_ngram_join,
         "op9_langid": langid.op9_langid,
         "op10_embedding_dedup": embedding_dedup.op10_embedding_dedup,
     }
@@ -21,5 +22,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_decontaminate": decontaminate.ORACLE_SQL,
+        "op6_ngram_join": ngram_join.ORACLE_SQL,
         "op10_embedding_dedup": embedding_dedup.ORACLE_SQL,
     }
