@@ -19,7 +19,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
@@ -36,6 +36,11 @@ ARRIVALS = 4
 _MANIFEST = "run string, file string, bytes long, rows long, target long"
 
 
+def _shard() -> Column:
+    """A row's shard: its path within the store."""
+    return F.concat(F.lit("run-"), F.substring_index(F.col("_metadata.file_path"), "/run-", -1))
+
+
 class ShardStore:
     """Runs of immutable shards under versioned manifests at ``path``."""
 
@@ -74,7 +79,7 @@ class ShardStore:
     def _listed(self, run: str, target: int) -> DataFrame:
         """What a written run holds; row counts are read from the files' own rows."""
         at = f"{self.path}/{run}"
-        rows = self.spark.read.parquet(at).select(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_size").alias("bytes"))
+        rows = self.spark.read.parquet(at).select(_shard().alias("file"), F.col("_metadata.file_size").alias("bytes"))
         return rows.groupBy("file", "bytes").agg(F.count("*").alias("rows")).select(F.lit(run).alias("run"), "file", "bytes", "rows", F.lit(target).cast("long").alias("target"))
 
     def append(self, df: DataFrame, arrivals: int = 1) -> int:
@@ -137,7 +142,7 @@ def shard(docs: DataFrame, target_bytes: int = TARGET_BYTES, arrivals: int = ARR
     listed = store.manifest(version)
     if not listed.limit(1).count():
         return docs.select("doc_id", F.lit(version).alias("version"), F.lit(None).cast("string").alias("shard"), F.lit(0).cast("long").alias("shard_rows"), F.lit(0).cast("long").alias("shard_bytes"))
-    rows = store.read(version).select("doc_id", F.col("_metadata.file_name").alias("shard"))
+    rows = store.read(version).select("doc_id", _shard().alias("shard"))
     names = listed.select(F.col("file").alias("shard"), F.col("rows").alias("shard_rows"), F.col("bytes").alias("shard_bytes"))
     return rows.join(names, "shard").select("doc_id", F.lit(version).alias("version"), "shard", "shard_rows", "shard_bytes")
 
