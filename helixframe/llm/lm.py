@@ -14,7 +14,7 @@ reduces its n-grams to sorted distinct 64-bit hashes and sends them, dealt by ha
 range, as packed arrays with its training counts; the range's owner sums them up and
 answers each block with the totals of just the n-grams it asked for.  The block then holds
 the part of the automaton that its texts can reach and walks them left to right.
-No task ever holds the model, and no key is hot: a block sends each n-gram once.
+Which bits of the hashes count follows from the corpus's size.  No task ever holds the model, and no key is hot: a block sends each n-gram once.
 
 Edge cases: a null or empty text is one end token; repeated rows are counted and
 scored each; with no training rows N and V are 0; columns besides id and text, and
@@ -23,6 +23,7 @@ ids that are null or equal, do no harm.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -33,13 +34,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernel
-from .common import partitions, saved, split_mod, table
+from .common import partitions, split_mod, table
 from .pack import dump, load
 
 #: Prior mass of the next shorter context, for word pairs and triples.
 MU = {2: 1000.0, 3: 4.0}
 #: Text of a block of documents.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
+#: Bits of an n-gram's hash beyond the logarithm of the corpus's bytes: at any size an n-gram
+#: shares its hash with another with a probability of 2**-SPARE_BITS at most.
+SPARE_BITS = 20
 
 U = np.uint64
 END, BEGIN = U(0x51ED270B9F1A3C4D), U(0xA0761D6478BD642F)
@@ -128,17 +132,27 @@ def _distinct(keys: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return s[new], (np.add.reduceat(t, new, dtype=np.int64) if len(s) else np.zeros(0, np.int64)).astype(np.uint32)
 
 
-_ROW = "bucket long, block string, kind int, n long, v long, a binary, b binary, c binary, d binary, e binary, f binary"
-_NAMES = ["bucket", "block", "kind", "n", "v", "a", "b", "c", "d", "e", "f"]
-_TYPES = [pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 6]
+_ROW = "bucket long, block string, n long, v long, a binary, b binary, c binary, d binary, e binary, f binary"
+_NAMES = ["bucket", "block", "n", "v", "a", "b", "c", "d", "e", "f"]
+_TYPES = [pa.int64(), pa.string(), pa.int64(), pa.int64(), *[pa.binary()] * 6]
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*rows, strict=True), _TYPES, strict=True)], names=_NAMES)
 
 
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Name, rows (id, train, text), tokens and row offsets of each block; the name follows from the content."""
+    for batch in batches:
+        for a, b in kernel.slices(batch.column(2), BLOCK_BYTES):
+            part = batch.slice(a, b - a)
+            name = hashlib.blake2b(kernel.raw(part.column(2))[0].tobytes(), digest_size=16)
+            name.update(repr(part.column(0).to_pylist()).encode())
+            yield name.hexdigest(), part, *_stream(*kernel.words(part.column(2), kernel.NONSPACE))
+
+
 def score(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id (as text), train, n_tokens, n_known, train_tokens, base_score, score for every row.
+    """doc_id (as id), train, n_tokens, n_known, train_tokens, base_score, score for every row.
 
     Learns from the rows where ``train`` holds.
     """
@@ -146,78 +160,73 @@ def score(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "t
     ranges = max(1, partitions(spark))
     rows = docs.select(F.col(f"`{doc_id}`").alias("id"), F.coalesce(train, F.lit(False)).alias("train"), F.col(f"`{text}`").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    drop = U(max(0, 64 - math.ceil(math.log2(size + 2)) - SPARE_BITS))
+
+    def keyed(t: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        two, three, deep = _ngrams(t, cut)
+        return t >> drop, two >> drop, three >> drop, deep
+
+    edges = np.array([((i << 64) // ranges) >> int(drop) for i in range(1, ranges)], dtype=U)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        task, count = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            for a, b in kernel.slices(batch.column(2), BLOCK_BYTES):
-                part, block = batch.slice(a, b - a), f"{task}-{count}"
-                count += 1
-                t, cut = _stream(*kernel.words(part.column(2), kernel.NONSPACE))
-                learn = np.repeat(part.column(1).to_numpy(zero_copy_only=False), np.diff(cut))
-                two, three, deep = _ngrams(t, cut)
-                known = [_distinct(t, learn), _distinct(two, learn), _distinct(three[deep], learn[deep])]
-                at = np.searchsorted(known[0][0], t).astype(np.uint32)
-                ids = pa.ipc.new_stream
-                sink = pa.BufferOutputStream()
-                with ids(sink, (head := pa.record_batch([part.column(0), part.column(1)], names=["id", "train"])).schema) as w:
-                    w.write_batch(head)
-                yield _batch([(-1 - (task % ranges), block, 0, 0, 0, sink.getvalue().to_pybytes(), dump(np.diff(cut).astype(np.int32)), dump(at), dump(known[0][0], rising=True), None, None)])
-                edge = [(i << 64) // ranges for i in range(1, ranges)]
-                cuts = [np.concatenate([[0], np.searchsorted(k, np.array(edge, dtype=U)), [len(k)]]) for k, _ in known]
-                out = []
-                for r in range(ranges):
-                    cols = []
-                    for (k, n), c in zip(known, cuts, strict=True):
-                        cols += [dump(k[c[r] : c[r + 1]], rising=True), dump(n[c[r] : c[r + 1]])]
-                    out.append((r, block, 1, 0, 0, *cols))
-                yield _batch(out)
+        for block, part, t, cut in _blocks(batches):
+            learn = np.repeat(part.column(1).to_numpy(zero_copy_only=False), np.diff(cut))
+            one, two, three, deep = keyed(t, cut)
+            cols: list[list[bytes]] = []
+            for keys, own in ((one, learn), (two, learn), (three[deep], learn[deep])):
+                k, n = _distinct(keys, own)
+                c = np.concatenate([[0], np.searchsorted(k, edges), [len(k)]])
+                cols.append([dump(k[c[r] : c[r + 1]], rising=True) for r in range(ranges)])
+                cols.append([dump(n[c[r] : c[r + 1]]) for r in range(ranges)])
+            yield _batch([(r, block, 0, 0, *(x[r] for x in cols)) for r in range(ranges)])
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, part, t, cut in _blocks(batches):
+            sink = pa.BufferOutputStream()
+            head = pa.record_batch([part.column(0), part.column(1)], names=["id", "train"])
+            with pa.ipc.new_stream(sink, head.schema) as w:
+                w.write_batch(head)
+            vocabulary, at = np.unique(t, return_inverse=True)
+            yield _batch([(-1, block, 0, 0, sink.getvalue().to_pybytes(), dump(np.diff(cut).astype(np.int32)), dump(at.astype(np.uint32)), dump(vocabulary, rising=True), None, None)])
 
     def answer(key: tuple, group: pa.Table) -> pa.Table:
-        if key[0].as_py() < 0:
-            return group
         blocks = group.column("block").to_pylist()
         n = v = 0
         cols = []
         for order in range(3):
-            keys = [load(x, rising=True) for x in group.column(5 + 2 * order).to_pylist()]
-            counts = [load(x) for x in group.column(6 + 2 * order).to_pylist()]
-            k, c = np.concatenate(keys), np.concatenate(counts)
+            keys = [load(x, rising=True) for x in group.column(4 + 2 * order).to_pylist()]
+            k, c = np.concatenate(keys), np.concatenate([load(x) for x in group.column(5 + 2 * order).to_pylist()])
             by = np.argsort(k)
             s = k[by]
             new = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.zeros(0, np.int64)
             total = np.add.reduceat(c[by], new, dtype=np.int64) if len(s) else np.zeros(0, np.int64)
             if order == 0:
                 n, v = int(total.sum()), int((total > 0).sum())
-            mine = np.empty(len(s), np.int64)
-            mine[by] = np.repeat(total, np.diff(np.append(new, len(s))))
-            cols.append([dump(x.astype(np.uint32)) for x in np.split(mine, np.cumsum([len(x) for x in keys])[:-1])])
-        rows = [(key[0].as_py(), blocks[i], 1, n if i == 0 else 0, v if i == 0 else 0, cols[0][i], cols[1][i], cols[2][i], None, None, None) for i in range(len(blocks))]
-        return pa.Table.from_batches([_batch(rows)])
-
-    asked = rows.mapInArrow(ask, _ROW)
-    answers = saved(asked.groupBy("bucket").applyInArrow(answer, _ROW))
-    size = answers.agg(F.sum("n"), F.sum("v")).first()
-    n_all, v_all = int(size[0] or 0), int(size[1] or 0)
+            mine = np.empty(len(s), np.uint32)
+            mine[by] = np.repeat(total, np.diff(np.append(new, len(s)))).astype(np.uint32)
+            cols.append([dump(x) for x in np.split(mine, np.cumsum([len(x) for x in keys])[:-1])])
+        return pa.Table.from_batches([_batch([(key[0].as_py(), blocks[i], n, v, cols[0][i], cols[1][i], cols[2][i], None, None, None) for i in range(len(blocks))])])
 
     def walk(key: tuple, group: pa.Table) -> pa.Table:
         group = group.sort_by("bucket")
-        head = group.slice(0, 1).to_pylist()[0]
-        tail = group.slice(1)
-        got = [np.concatenate([load(x) for x in tail.column(5 + k).to_pylist()]).astype(np.float64) for k in range(3)]
-        ids = pa.ipc.open_stream(head["a"]).read_all()
+        bucket = group.column("bucket").to_numpy()
+        heads = group.slice(0, int(np.searchsorted(bucket, 0))).to_pylist()
+        tail = group.take(pa.array(np.unique(bucket, return_index=True)[1][bool(heads) :]))
+        if not heads or tail.num_rows != ranges:
+            raise RuntimeError("the input's rows came in another order when they were read again")
+        # every range answers every block, so the ranges' sums are the corpus's
+        n_all, v_all = sum(tail.column("n").to_pylist()), sum(tail.column("v").to_pylist())
+        got = [np.concatenate([load(x) for x in tail.column(4 + k).to_pylist()]).astype(np.float64) for k in range(3)]
+        head = heads[0]
         size, at, vocabulary = load(head["b"]).astype(np.int64), load(head["c"]).astype(np.int64), load(head["d"], rising=True)
         cut = np.concatenate([[0], np.cumsum(size)])
-        t = vocabulary[at]
-        two, three, deep = _ngrams(t, cut)
-        c1 = got[0][at]
-        c2 = got[1][np.searchsorted(np.unique(two), two)]
-        c3 = np.zeros(len(t))
-        c3[deep] = got[2][np.searchsorted(np.unique(three[deep]), three[deep])]
-        # contexts: the word before (at a row's start the number of training rows), and the pair before
-        h1, h2 = np.empty(len(t)), np.zeros(len(t))
+        one, two, three, deep = keyed(vocabulary[at], cut)
+        find = lambda keys, counts: counts[np.unique(keys, return_inverse=True)[1]]
+        c1, c2, c3 = find(one, got[0]), find(two, got[1]), np.zeros(len(one))
+        c3[deep] = find(three[deep], got[2])
+        # the state before each token: its word's count (at a row's start that of training rows) and its pair's
+        h1, h2 = np.empty(len(one)), np.zeros(len(one))
         h1[1:], h2[1:] = c1[:-1], c2[:-1]
         h1[cut[:-1]] = c1[cut[1:] - 1]
         h2[cut[:-1]] = 0
@@ -225,12 +234,16 @@ def score(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "t
         p = (c2 + MU[2] * base) / (h1 + MU[2])
         p = np.where(h2 > 0, (c3 + MU[3] * p) / (h2 + MU[3]), p)
         add = lambda x: np.add.reduceat(x, cut[:-1])  # noqa: E731  every row has its end token
-        return pa.table({
-            "id": ids.column("id"), "train": ids.column("train"), "n_tokens": pa.array(size), "n_known": pa.array(add((c1 > 0).astype(np.int64))),
-            "train_tokens": pa.array(np.full(len(size), n_all)), "base_score": pa.array(add(np.log10(base))), "score": pa.array(add(np.log10(p))),
-        })
-
-    return answers.groupBy("block").applyInArrow(walk, f"id {kind}, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        sums = {"n_tokens": size, "n_known": add((c1 > 0).astype(np.int64)), "train_tokens": np.full(len(size), n_all), "base_score": add(np.log10(base)), "score": add(np.log10(p))}
+        out = []
+        for x in heads:  # blocks of equal content share one name
+            ids = pa.ipc.open_stream(x["a"]).read_all()
+            out.append(pa.table({"id": ids.column("id"), "train": ids.column("train")} | {k: pa.array(v) for k, v in sums.items()}))
+        return pa.concat_tables(out)
+
+    answers = rows.mapInArrow(ask, _ROW).groupBy("bucket").applyInArrow(answer, _ROW)
+    walked = answers.unionByName(rows.mapInArrow(keep, _ROW)).groupBy("block").applyInArrow(walk, f"id {kind}, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return walked
 
 
 def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
