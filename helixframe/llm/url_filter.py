@@ -48,7 +48,7 @@ class Level:
     def holds(self, key: Column) -> Column:
         if not any(self.words):
             return F.lit(False)
-        held = F.array(*[F.lit(w) for w in self.words])
+        held = F.array(*[F.lit(w).cast("long") for w in self.words])
         out = F.lit(True)
         for at in _positions(key, self):
             out = out & (F.getbit(F.element_at(held, (F.floor(at / 64) + 1).cast("int")), (at % 64).cast("int")) == 1)
