@@ -189,6 +189,7 @@ add("find_spacings", f"{OCC},\n{PAIRS}", f'SELECT "primary", secondary, same_str
 add("spaced_pairs_offset", OCC, f"SELECT * FROM (SELECT x.seq, x.pos AS pos_x, x.strand AS strand_x, y.pos AS pos_y, y.strand AS strand_y, CASE WHEN x.strand = '+' THEN y.pos - x.pos ELSE x.pos + length(x.w) - y.pos - length(y.w) END AS \"offset\" FROM occ x JOIN occ y ON x.motif = 'M1' AND y.motif = 'M3' AND x.seq = y.seq AND x.strand = y.strand) WHERE \"offset\" IN ({', '.join(map(str, S.OFFSETS))})")
 _EM = [f"SELECT {_w} AS o, n * ({posterior(SCANNED[1], S.EM_LAMBDA, b)}) AS z FROM x" for _w, b in (("w", False), (RC.format("w"), True))]
 add("em_iteration_counts", f"{SEQS},\n{MARKOV},\n{windows('w8', 8)},\n{isolated('l8', 'w8', 8)},\nx AS (SELECT l8.w, ll, n FROM l8 JOIN (SELECT w, count(*) AS n FROM w8 GROUP BY 1) k ON k.w = l8.w)", f"SELECT i::INT AS col, substr(o, i + 1, 1) AS base, {r('sum(z)', 3)} AS z FROM (SELECT o, z, unnest(range(0, 8)) AS i FROM ({' UNION ALL '.join(_EM)})) GROUP BY 1, 2")
+add("pruned_words", OCC, f"SELECT w, count(*) AS n, strand, {r('any_value(z)')} AS \"Z\" FROM occ WHERE motif = 'M1' GROUP BY w, strand")
 add("site_matrix", OCC, f"SELECT motif, i::INT AS col, substr(o, i + 1, 1) AS base, count(*) AS n FROM (SELECT motif, {_WORD} AS o, unnest(range(0, 8)) AS i FROM occ) GROUP BY 1, 2, 3")
 add("hamming_per_base", OCC, " UNION ALL ".join(f"SELECT motif, {r(f'''sum({_hamming('o', repr(m.consensus()), 8)}) / (count(*) * 8.0)''')} AS per_base FROM (SELECT motif, {_WORD} AS o FROM occ WHERE motif = '{m.name}') GROUP BY 1" for m in S.MOTIFS))
 add("event_spacings", "e AS (SELECT event_type AS motif, user_id AS seq, floor(epoch(ts))::BIGINT AS pos FROM events),\np AS (SELECT a.motif AS m1, b.motif AS m2, floor((b.pos - a.pos - 1) / 60)::BIGINT AS d FROM e a JOIN e b ON a.seq = b.seq AND b.pos - a.pos - 1 BETWEEN 0 AND 3600)", 'SELECT "primary", secondary, same_strand, upstream, d AS distance, count(*) AS n FROM (SELECT m1 AS "primary", m2 AS secondary, true AS same_strand, false AS upstream, d FROM p UNION ALL SELECT m2, m1, true, true, d FROM p WHERE m1 <> m2) GROUP BY ALL')

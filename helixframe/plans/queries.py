@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import dna
-from ..operators import background, discover, discriminate, em, intervals, pssm, scan, sequences, spacing, stats
+from ..operators import background, discover, discriminate, em, intervals, pssm, sampling, scan, sequences, spacing, stats
 from ..session import ship
 from ..sources import scanfiles
 from . import settings as S
@@ -463,6 +463,24 @@ def event_spacings(spark: SparkSession, d: str) -> DataFrame:
     return spacing.histogram(spacing.oriented(spacing.close_pairs(x, 3600), None, 3600).withColumn("distance", F.floor(F.col("distance") / 60)))
 
 
+@query
+def pruned_words(spark: SparkSession, d: str) -> DataFrame:
+    """Words that prefix pruning leaves and that pass the threshold: as many as without it."""
+    m = S.MOTIFS[0].for_scan()
+    words = background.isolated_ll(sequences.word_counts(seqs(spark, d), m.width), model(spark, d), S.ORDER, m.width)
+    left = sampling.pruned(words, m, S.LAMBDA, S.THRESHOLD, 4)
+    hits = scan._strands(left, m, S.LAMBDA).where(F.col("Z") >= S.THRESHOLD)
+    return rounded(hits.select("w", "n", "strand", "Z"), "Z")
+
+
+@query
+def sampled_posterior_sum(spark: SparkSession, d: str) -> DataFrame:
+    """A sampling operator: the sum of posteriors from about 2,000 words."""
+    m = S.MOTIFS[0].for_scan()
+    words = background.isolated_ll(sequences.word_counts(seqs(spark, d), m.width), model(spark, d), S.ORDER, m.width)
+    return sampling.sampled_sum(words, m, S.LAMBDA, 2000)
+
+
 @query
 def lasso_discriminate(spark: SparkSession, d: str) -> DataFrame:
     labels = spark.read.parquet(f"{d}/labels.parquet").select(F.col("doc_id").alias("seq"), F.col("quality").cast("double").alias("y")).dropna()
