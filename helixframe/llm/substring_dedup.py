@@ -200,7 +200,8 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     clusters = components(grouped(sets, "gid", _verify, "a long, b long")).withColumnRenamed("node", "name")
     placed = paragraphs.select("name", "row", "doc_id", "start").distinct().join(clusters, "name", "left").withColumn("cluster", F.coalesce("component", "name"))
     first = placed.groupBy("cluster").agg(F.min("row").alias("lo"), F.max("row").alias("hi"), F.min(F.struct("doc_id", "row", "start")).alias("first")).where("lo <> hi")
-    marked = placed.join(first, "cluster").select("doc_id", "row", F.struct("start", "cluster", (~F.struct("doc_id", "row", "start").eqNullSafe(F.col("first"))).alias("removed")).alias("p"))
+    # read back, so that the join's sides are both dealt out anew and adaptive execution can split a hot cluster
+    marked = placed.join(saved(first), "cluster").select("doc_id", "row", F.struct("start", "cluster", (~F.struct("doc_id", "row", "start").eqNullSafe(F.col("first"))).alias("removed")).alias("p"))
     lists = marked.groupBy("row", "doc_id").agg(F.collect_list("p").alias("found"))
     span = "array<struct<start:int,end:int>>"
     return lists.mapInArrow(_spans, f"doc_id long, n_repeated long, n_removed long, spans {span}, removed {span}, clusters array<long>")
