@@ -81,6 +81,27 @@ def accuracy(c: DataFrame) -> DataFrame:
     )
 
 
+def site_confusion(truth: DataFrame, predicted: DataFrame, share: float = 0.25) -> DataFrame:
+    """One row stp, sfp, sfn in sites: a true site is found where a predicted one covers ``share`` of it.
+
+    sfp counts the predicted sites that find none; interval sets (seq, start, end) are taken as distinct.
+    """
+    t, p = (x.select("seq", "start", "end").distinct() for x in (truth, predicted))
+    shared = dna.overlap(F.col("start"), F.col("end"), F.col("start2"), F.col("end2"))
+    met = overlap_join(t, p).where(shared >= F.lit(share) * (F.col("end") - F.col("start")))
+    size = lambda x, name, *keys: x.select(*keys).distinct().agg(F.count("*").alias(name))
+    one = size(met, "stp", "seq", "start", "end").crossJoin(size(met, "hit", "seq", "start2", "end2"))  # single rows
+    one = one.crossJoin(size(t, "t", "*")).crossJoin(size(p, "p", "*"))
+    return one.select("stp", (F.col("p") - F.col("hit")).alias("sfp"), (F.col("t") - F.col("stp")).alias("sfn"))
+
+
+def site_accuracy(c: DataFrame) -> DataFrame:
+    """sSn, sPPV and their mean sASP of a site confusion."""
+    tp, fp, fn = (F.col(x).cast("double") for x in ("stp", "sfp", "sfn"))
+    sn, ppv = F.try_divide(tp, tp + fn), F.try_divide(tp, tp + fp)
+    return c.select(sn.alias("sSn"), ppv.alias("sPPV"), ((sn + ppv) / 2).alias("sASP"))
+
+
 def _choose(rows: pd.DataFrame) -> pd.DataFrame:
     order = sorted(range(len(rows)), key=lambda i: (-rows["Z"].iat[i], rows["pos"].iat[i], rows["strand"].iat[i]))
     taken: list[tuple[int, int]] = []

@@ -79,6 +79,22 @@ def evidence(counts: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return total.select("primary", "secondary", "n", value.alias("log_evidence"))
 
 
+def likelihoods(counts: DataFrame, distance: int = DISTANCE, alpha: float = 1.0) -> DataFrame:
+    """(primary, secondary, n, log_choose, log_uniform, log_dirichlet): multinomial likelihoods of a pair's histogram.
+
+    log_uniform: all cells are equally likely; log_dirichlet: cells have a Dirichlet prior of ``alpha >= 1`` each.
+    Absent cells add nothing, so the sparse histogram is enough.
+    """
+    cells = 4 * (distance + 1)
+    o, x = F.col("o").cast("double"), F.col("n").cast("double")
+    by = counts.withColumnRenamed("n", "o").groupBy("primary", "secondary").agg(F.sum("o").alias("n"), F.sum(ln_gamma(o + 1)).alias("facts"), F.sum(ln_gamma(o + alpha) - math.lgamma(alpha)).alias("prior"))
+    choose = ln_gamma(x + 1) - F.col("facts")
+    return by.select(
+        "primary", "secondary", "n", choose.alias("log_choose"), (choose - x * math.log(cells)).alias("log_uniform"),
+        (choose + math.lgamma(alpha * cells) - ln_gamma(x + alpha * cells) + F.col("prior")).alias("log_dirichlet"),
+    )
+
+
 def without_inverse(pairs: DataFrame) -> DataFrame:
     """Of (a, b) and (b, a) the one of more evidence; ties keep the smaller primary."""
     key = F.struct(-F.col("log_evidence"), F.col("primary"))

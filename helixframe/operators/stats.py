@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -122,3 +123,37 @@ def cluster_sequences(wide: DataFrame, columns: list[str], seed: int = 1) -> Dat
     data = VectorAssembler(inputCols=columns, outputCol="x").transform(wide)
     fit = KMeans(k=max(2, int(math.log(max(2, n)))), featuresCol="x", predictionCol="cluster", seed=seed).fit(data)
     return fit.transform(data).select("seq", "cluster")
+
+
+def header(sites: DataFrame, lengths: DataFrame) -> DataFrame:
+    """One row: seqs, bases, sites, motifs, bases_per_site."""
+    a = sites.agg(F.count("*").alias("sites"), F.count_distinct("motif").alias("motifs"))
+    one = lengths.agg(F.count("*").alias("seqs"), F.coalesce(F.sum("length"), F.lit(0)).cast("long").alias("bases")).crossJoin(a)  # single rows
+    return one.withColumn("bases_per_site", F.try_divide(F.col("bases").cast("double"), F.col("sites")))
+
+
+def merges(gram: np.ndarray) -> list[tuple[int, int, float, int]]:
+    """Centroid clustering from dot products: (left, right, distance, size); the k-th merge is node n + k.  Ties go to smaller nodes."""
+    n = len(gram)
+    norm = np.diag(gram)
+    d2 = {(i, j): max(0.0, float(norm[i] + norm[j] - 2 * gram[i, j])) for i in range(n) for j in range(i + 1, n)}
+    size, out = dict.fromkeys(range(n), 1), []
+    for node in range(n, 2 * n - 1):
+        (a, b), best = min(d2.items(), key=lambda x: (x[1], x[0]))
+        na, nb = size.pop(a), size.pop(b)
+        at = lambda x, y: d2[min(x, y), max(x, y)]
+        new = {(k, node): max(0.0, (na * at(k, a) + nb * at(k, b)) / (na + nb) - na * nb * best / (na + nb) ** 2) for k in size}
+        d2 = {k: v for k, v in d2.items() if a not in k and b not in k} | new
+        size[node] = na + nb
+        out.append((a, b, best**0.5, na + nb))
+    return out
+
+
+def cluster_motifs(best: DataFrame, motifs: list[str]) -> list[tuple[int, int, float, int]]:
+    """Centroid clustering of motifs as vectors of best Z by sequence; only motifs x motifs dot products leave the cluster."""
+    a, b = best.select("seq", F.col("motif").alias("a"), F.col("best").alias("x")), best.select("seq", F.col("motif").alias("b"), F.col("best").alias("y"))
+    at = {m: i for i, m in enumerate(motifs)}
+    gram = np.zeros((len(motifs), len(motifs)))
+    for r in a.join(b, "seq").groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("dot")).where(F.col("a").isin(*motifs) & F.col("b").isin(*motifs)).collect():
+        gram[at[r["a"]], at[r["b"]]] = r["dot"]
+    return merges(gram)

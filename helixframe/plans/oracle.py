@@ -193,3 +193,11 @@ add("pruned_words", OCC, f"SELECT w, count(*) AS n, strand, {r('any_value(z)')}
 add("site_matrix", OCC, f"SELECT motif, i::INT AS col, substr(o, i + 1, 1) AS base, count(*) AS n FROM (SELECT motif, {_WORD} AS o, unnest(range(0, 8)) AS i FROM occ) GROUP BY 1, 2, 3")
 add("hamming_per_base", OCC, " UNION ALL ".join(f"SELECT motif, {r(f'''sum({_hamming('o', repr(m.consensus()), 8)}) / (count(*) * 8.0)''')} AS per_base FROM (SELECT motif, {_WORD} AS o FROM occ WHERE motif = '{m.name}') GROUP BY 1" for m in S.MOTIFS))
 add("event_spacings", "e AS (SELECT event_type AS motif, user_id AS seq, floor(epoch(ts))::BIGINT AS pos FROM events),\np AS (SELECT a.motif AS m1, b.motif AS m2, floor((b.pos - a.pos - 1) / 60)::BIGINT AS d FROM e a JOIN e b ON a.seq = b.seq AND b.pos - a.pos - 1 BETWEEN 0 AND 3600)", 'SELECT "primary", secondary, same_strand, upstream, d AS distance, count(*) AS n FROM (SELECT m1 AS "primary", m2 AS secondary, true AS same_strand, false AS upstream, d FROM p UNION ALL SELECT m2, m1, true, true, d FROM p WHERE m1 <> m2) GROUP BY ALL')
+add("local_positions", f"{OCC},\ng AS (SELECT seq, coalesce(sum(length(s)) OVER (ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS gstart FROM seqs)", "SELECT DISTINCT gstart + pos AS gpos, seq, pos::BIGINT AS pos FROM occ JOIN g USING (seq)")
+add("cumulative_log_likelihood", f"{BASE},\ncl AS (SELECT seq, sum(ll) OVER (PARTITION BY seq ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum_ll FROM bl)", f"SELECT seq, {r('min(cum_ll)', 4)} AS last, {r('avg(cum_ll)', 4)} AS mean FROM cl GROUP BY 1")
+_CHOOSE = "lgamma(sum(n) + 1) - sum(lgamma(n + 1))"
+add("spacing_likelihoods", f"{OCC},\n{PAIRS}", f'SELECT "primary", secondary, sum(n)::BIGINT AS n, {r(_CHOOSE, 4)} AS log_choose, {r(f"{_CHOOSE} - sum(n) * ln({4 * _D})", 4)} AS log_uniform, {r(f"lgamma(sum(n) + 1) + lgamma({4 * _D}) - lgamma(sum(n) + {4 * _D})", 4)} AS log_dirichlet FROM hist GROUP BY 1, 2')
+_FOUND = 'x."seq" = y."seq" AND least(x."end", y."end") - greatest(x."start", y."start") >= 0.25 * ({0}."end" - {0}."start") AND x."start" < y."end" AND y."start" < x."end"'
+add("site_accuracy", f"{OCC},\n{MERGED},\nt AS (SELECT * FROM merged WHERE motif = 'M1'),\np AS (SELECT * FROM merged WHERE motif = 'M3'),\nc AS (SELECT (SELECT count(*) FROM t x WHERE EXISTS (SELECT 1 FROM p y WHERE {_FOUND.format('x')})) AS stp, (SELECT count(*) FROM p y WHERE NOT EXISTS (SELECT 1 FROM t x WHERE {_FOUND.format('x')})) AS sfp, (SELECT count(*) FROM t) AS n)",
+    f'SELECT stp, sfp, n - stp AS sfn, {r("stp / n::DOUBLE", 9)} AS "sSn", {r("stp / (stp + sfp)::DOUBLE", 9)} AS "sPPV", {r("(stp / n::DOUBLE + stp / (stp + sfp)::DOUBLE) / 2", 9)} AS "sASP" FROM c')
+add("report_header", OCC, f"SELECT (SELECT count(*) FROM lens) AS seqs, (SELECT sum(length)::BIGINT FROM lens) AS bases, count(*) AS sites, count(DISTINCT motif) AS motifs, {r('(SELECT sum(length)::DOUBLE FROM lens) / count(*)')} AS bases_per_site FROM occ")

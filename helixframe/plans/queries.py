@@ -509,3 +509,47 @@ def discover_motif(spark: SparkSession, d: str) -> DataFrame:
     """The best motif of width 6 in the benchmark's sequences, with its instances."""
     found = discover.discover(bench_seqs(spark, d), 1, 10, 20, [6], S.ORDER, every=37, per_width=1, iterations=5)
     return found[0]["instances"].select("seq", "pos", "strand", "w", F.round("Z", 6).alias("Z"))
+
+
+@query
+def local_positions(spark: SparkSession, d: str) -> DataFrame:
+    """Global positions of the sites, brought back to sequence and offset."""
+    placed = kept(spark, d, "placed", lambda: sequences.globalise(seqs(spark, d)).select("seq", "length", "gstart"))
+    at = sites(spark, d).join(placed, "seq").select((F.col("gstart") + F.col("pos")).alias("gpos")).distinct()
+    return sequences.localise(at, placed)
+
+
+@query
+def cumulative_log_likelihood(spark: SparkSession, d: str) -> DataFrame:
+    x = background.cumulative_ll(background.base_ll(seqs(spark, d), model(spark, d), S.ORDER))
+    return rounded(x.groupBy("seq").agg(F.min("cum_ll").alias("last"), F.avg("cum_ll").alias("mean")), "last", "mean", digits=4)
+
+
+@query
+def spacing_likelihoods(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(spacing.likelihoods(spacing.histogram(_spacings(spark, d)), S.DISTANCE), "log_choose", "log_uniform", "log_dirichlet", digits=4)
+
+
+@query
+def site_accuracy(spark: SparkSession, d: str) -> DataFrame:
+    m = intervals.merged(sites(spark, d), "motif")
+    pick = lambda x: m.where(F.col("motif") == x).select("seq", "start", "end")
+    c = intervals.site_confusion(pick("M1"), pick("M3"))
+    return rounded(c.crossJoin(intervals.site_accuracy(c)), "sSn", "sPPV", "sASP", digits=9)  # single rows
+
+
+@query
+def report_header(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(stats.header(sites(spark, d), lengths(spark, d)), "bases_per_site")
+
+
+@query
+def motif_clusters(spark: SparkSession, d: str) -> DataFrame:
+    found = stats.cluster_motifs(stats.best_by_seq(sites(spark, d)), S.NAMES)
+    return rounded(one(spark, found, "left int, right int, distance double, size int"), "distance")
+
+
+@query
+def sequence_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """k-means of the sequences by the expected numbers of sites."""
+    return stats.cluster_sequences(stats.seq_wide(sites(spark, d), lengths(spark, d), S.NAMES), [f"e_{m}" for m in S.NAMES])

@@ -212,3 +212,33 @@ def test_seed_and_grid():
     assert pssm.geometric(2, 10, 2**0.5) == [2, 3, 4, 5, 7, 9, 10]
     assert pssm.shuffled(pssm.from_seed("x", "ACGT"), 1).width == 4
     assert abs(pssm.information(pssm.uniform("u", 3))) < 1e-9
+
+
+def test_site_confusion(spark):
+    cols = "seq long, start int, end int"
+    truth = spark.createDataFrame([(1, 0, 8), (1, 20, 28), (2, 0, 8), (3, 5, 6)], cols)
+    found = spark.createDataFrame([(1, 6, 14), (1, 27, 40), (2, 0, 4), (2, 4, 8), (4, 0, 8)], cols)
+    c = intervals.site_confusion(truth, found)
+    assert tuple(c.first()) == (2, 2, 2)  # a cover of 1 of 8 is not enough
+    assert [round(x, 9) for x in intervals.site_accuracy(c).first()] == [0.5, 0.5, 0.5]
+    assert tuple(intervals.site_confusion(truth.limit(0), found.limit(0)).first()) == (0, 0, 0)
+
+
+def test_spacing_likelihoods(spark):
+    h = spark.createDataFrame([("a", "b", True, False, 0, 3), ("a", "b", True, False, 2, 1)], "primary string, secondary string, same_strand boolean, upstream boolean, distance int, n long")
+    r = spacing.likelihoods(h, 2, alpha=2.0).first()
+    choose = math.lgamma(5) - math.lgamma(4) - math.lgamma(2)
+    assert r["n"] == 4 and abs(r["log_choose"] - choose) < 1e-9 and abs(r["log_uniform"] - choose + 4 * math.log(12)) < 1e-9
+    want = choose + math.lgamma(24) - math.lgamma(28) + math.lgamma(5) - math.lgamma(2) + math.lgamma(3) - math.lgamma(2)
+    assert abs(r["log_dirichlet"] - want) < 1e-9
+
+
+def test_centroid_merges():
+    x = np.array([[0.0, 0.0], [0.0, 1.0], [5.0, 0.0], [5.0, 3.0], [9.0, 9.0]])
+    clusters, want = {i: [i] for i in range(len(x))}, []
+    for node in range(len(x), 2 * len(x) - 1):
+        d, a, b = min((float(np.linalg.norm(x[clusters[a]].mean(0) - x[clusters[b]].mean(0))), a, b) for a in clusters for b in clusters if a < b)
+        clusters[node] = clusters.pop(a) + clusters.pop(b)
+        want.append((a, b, round(d, 9), len(clusters[node])))
+    assert [(a, b, round(d, 9), n) for a, b, d, n in stats.merges(x @ x.T)] == want
+    assert stats.merges(np.zeros((1, 1))) == []
