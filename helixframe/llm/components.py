@@ -54,14 +54,17 @@ def tiles(group: Column, member: Column, size: Column, tile: int = TILE) -> Colu
     )
 
 
-def grouped(df: DataFrame, by: str, fn: Callable[[pa.Table], pa.Table | None], schema: str) -> DataFrame:
-    """``fn`` over the rows of each value of the long column ``by``, many small groups to an Arrow batch."""
+def grouped(df: DataFrame, by: str, fn: Callable[[pa.Table], pa.Table | None], schema: str, whole: bool = False) -> DataFrame:
+    """``fn`` over the rows of each value of the long column ``by``, many small groups to an Arrow batch; if ``whole``, over many complete groups at once."""
     n = partitions(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[pa.RecordBatch] = []
 
         def parts(table: pa.Table) -> Iterator[pa.Table]:
+            if whole:
+                yield table
+                return
             key = table.column(by).to_numpy()
             cut = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
             for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):

@@ -1,18 +1,22 @@
-"""Substring dedup: paragraphs found by MinHash banding, verified, clustered by components.
-
-Repeated passages begin anywhere in a text, so paragraphs are sliding windows of
-``PASSAGE`` words.  The band key of a window is the minimum of its five-word shingles'
-hashes; windows that follow each other mostly share it, so a text has one anchor for
-each change.  One band of one row is the tuning of highest recall: two texts that share
-PASSAGE words in a row share an anchor with certainty, near-equal windows of
-similarity s with probability s for each of their anchors.  Only anchors whose key
-occurs in several documents go on.
-
-Each such anchor has two paragraphs of ``HALF`` words, one to either side; of an exactly
-shared passage one of them lies within it.  Paragraphs with equal shingle sets are one class;
-different classes that collide in a key are verified by exact Jaccard; components of the
-verified links are the clusters.  A cluster that spans documents keeps its first paragraph
-and marks the others for removal.
+"""Substring dedup: paragraphs found by sliding minima, verified whole, marked word by word.
+
+Repeated passages begin anywhere in a text, so paragraphs are all windows of ``PASSAGE``
+words.  Two paragraphs whose sets of five-word shingles have a Jaccard similarity of 0.8
+share 41 of 46 shingles at least, so one word may differ inside them, or some at the ends:
+they have ``RUN`` words in a row in common.  The keys of a text are the minima of its
+``GRAM``-word hashes over each ``RUN`` words, so such paragraphs share a key with certainty.
+Only keys that occur in several documents go on.
+
+A unit is such an anchor with all paragraphs around it.  Units of equal words are one
+class; classes that share a key are verified pair by pair: every paragraph of the one
+against the paragraph of the other on the anchor's diagonal (moved inwards at an end of the
+text), by the exact Jaccard of the whole paragraphs.  A verified paragraph covers the words
+from its first shared shingle to its last, so the union covers a repeated passage from
+end to end, and no word beside it.  Components of the verified links are the clusters.
+A covered word is removed if an earlier document (by id) has the paragraph.
+
+Not sought: paragraphs that are alike only with their blocks swapped.  In texts that loop
+within a paragraph a run of ``RUN`` words isn't certain, as single shingles weigh more there.
 
 Edge cases: texts of less than ``PASSAGE`` words, null and empty ones have no paragraph;
 rows with equal id and text are one document, with equal id and other text several; a
@@ -33,13 +37,22 @@ from pyspark.sql import functions as F
 from ..session import ship
 from . import kernel
 from .common import saved, table
-from .components import components, grouped, roots, tiles
+from .components import components, grouped, tiles
 
 SHINGLE = 5
 PASSAGE = 50
-HALF = 25
+RUN, GRAM = 25, 10
 THRESHOLD = 0.8
 TILE = 2048
+#: Shingles of a paragraph; words before an anchor; shingles and words of a unit.
+WIDE = PASSAGE - SHINGLE + 1
+LEAD = PASSAGE - GRAM
+AROUND = LEAD + WIDE
+WORDS = LEAD + PASSAGE
+#: Diagonals beside the anchor's: one word put in or left out moves the rest by one.
+SHIFT = 2
+#: Pairs of units that are compared at once.
+PAIRS = 4096
 
 U = np.uint64
 
@@ -58,27 +71,27 @@ def _sliding(x: np.ndarray, w: int, op: np.ufunc, pad: int) -> np.ndarray:
 
 def anchors(h: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, word position and key of the anchors of texts with word hashes ``h``."""
-    w = PASSAGE - SHINGLE + 1
+    w = RUN - GRAM + 1
     none = np.zeros(0, np.int64)
     if len(h) < PASSAGE:
         return none, none, np.zeros(0, U)
-    g = kernel.grams(h, SHINGLE)
+    g = kernel.grams(h, GRAM)
     row = np.repeat(np.arange(len(offs) - 1), np.diff(offs))
     low = _sliding(g, w, np.minimum, (1 << 64) - 1)
-    # windows of PASSAGE words that lie within one text
+    # windows of RUN words that lie within one text of PASSAGE words or more
     j = np.arange(len(low))
     inside = np.zeros(len(low), bool)
-    ok = j + PASSAGE <= len(h)
-    inside[ok] = row[j[ok]] == row[j[ok] + PASSAGE - 1]
+    ok = j + RUN <= len(h)
+    inside[ok] = (row[j[ok]] == row[j[ok] + RUN - 1]) & (np.diff(offs)[row[j[ok]]] >= PASSAGE)
     low = np.where(inside, low, U(0))
     top = _sliding(np.concatenate([np.zeros(w - 1, U), low]), w, np.maximum, 0)
     pos = np.flatnonzero((top == g[: len(top)]) & (top > 0))
     key, r = g[pos], row[pos]
     at = pos - offs[r]
-    order = np.lexsort((at, key, r))  # in loops of words one anchor for each half paragraph is enough
+    order = np.lexsort((at, key, r))  # in loops of words one anchor for each run is enough
     key, r, at = key[order], r[order], at[order]
     new = np.ones(len(key), bool)
-    new[1:] = (key[1:] != key[:-1]) | (r[1:] != r[:-1]) | (at[1:] // HALF != at[:-1] // HALF)
+    new[1:] = (key[1:] != key[:-1]) | (r[1:] != r[:-1]) | (at[1:] // RUN != at[:-1] // RUN)
     return r[new], at[new], key[new]
 
 
@@ -89,75 +102,204 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column(0).slice(a, b - a).take(pa.array(r)), pa.array(at.astype(np.int32))], names=["key", "row", "pos"])
 
 
-def _sets(h: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Sorted shingle hashes of the paragraphs of HALF words at ``start``."""
-    g = kernel.grams(h, SHINGLE)
-    return np.sort(g[start[:, None] + np.arange(HALF - SHINGLE + 1)], axis=1)
+def _around(h: np.ndarray, offs: np.ndarray, r: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    """Shingle hashes of the units at ``pos`` of the texts ``r``; 0 beyond the text."""
+    at = pos[:, None] + np.arange(-LEAD, WIDE)
+    ok = (at >= 0) & (at + SHINGLE <= np.diff(offs)[r][:, None])
+    g = np.maximum(kernel.grams(h, SHINGLE), U(1))
+    return np.where(ok, g[np.where(ok, at + offs[r][:, None], 0)], U(0))
 
 
-def _names(sets: np.ndarray) -> np.ndarray:
-    first = np.ones(sets.shape, bool)
-    first[:, 1:] = sets[:, 1:] != sets[:, :-1]
-    return kernel.mix(np.where(first, kernel.mix(sets ^ U(0x9FB21C651E98DF25)), U(0)).sum(1, dtype=U)).view(np.int64)
+_PLACE = np.random.default_rng(7).integers(0, 1 << 63, AROUND, dtype=np.uint64)
 
 
-def _paragraph_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """row, doc_id, text, hits (structs pos, key) to paragraphs."""
+def _hits(part: pa.RecordBatch, column: int) -> tuple[np.ndarray, pa.StructArray]:
+    lists = part.column(column)
+    return np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False)), lists.flatten()
+
+
+def _unit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """row, doc_id, text, hits (structs pos, key) to units."""
     for batch in batches:
         for a, b in kernel.slices(batch.column(2)):
             part = batch.slice(a, b - a)
             h, offs = kernel.words(part.column(2), kernel.ALNUM)
-            hits = part.column(3)
-            r = np.repeat(np.arange(b - a), pc.list_value_length(hits).to_numpy(zero_copy_only=False))
-            flat = hits.flatten()
-            pos, key = flat.field(0).to_numpy().astype(np.int64), flat.field(1).to_numpy()
+            r, flat = _hits(part, 3)
+            pos = flat.field(0).to_numpy().astype(np.int64)
+            name = [kernel.mix(kernel.mix(_around(h, offs, r[i : i + PAIRS], pos[i : i + PAIRS]) ^ _PLACE).sum(1, dtype=U)) for i in range(0, len(r), PAIRS)]
+            name = np.concatenate(name).view(np.int64) if name else np.zeros(0, np.int64)
             size = np.diff(offs)[r]
-            out = []
-            for side, start in ((0, pos), (1, pos + SHINGLE - HALF)):
-                ok = (start >= 0) & (start + HALF <= size)
-                out.append((r[ok], start[ok], key[ok], np.full(ok.sum(), side)))
-            r, start, key, side = (np.concatenate(x) for x in zip(*out, strict=True))
-            name = _names(_sets(h, start + offs[r])) if len(r) else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(key), pa.array(side.astype(np.int32)), part.column(0).take(pa.array(r)), part.column(1).take(pa.array(r)), pa.array(start.astype(np.int32))], names=["name", "key", "side", "row", "doc_id", "start"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(name), flat.field(1), part.column(0).take(pa.array(r)), part.column(1).take(pa.array(r)), pa.array(pos.astype(np.int32)), pa.array(np.maximum(-LEAD, -pos).astype(np.int32)), pa.array(np.minimum(PASSAGE, size - pos).astype(np.int32))],
+                names=["name", "key", "row", "doc_id", "pos", "left", "right"],
+            )
 
 
 def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """text and wants (structs start, name, gid, tile, cross) to the wanted sets."""
+    """text and wants (structs pos, name, gid, tile, cross, doc, first, lo, hi) to the wanted units."""
     for batch in batches:
         for a, b in kernel.slices(batch.column(0)):
             part = batch.slice(a, b - a)
             h, offs = kernel.words(part.column(0), kernel.ALNUM)
-            wants = part.column(1)
-            r = np.repeat(np.arange(b - a), pc.list_value_length(wants).to_numpy(zero_copy_only=False))
-            flat = wants.flatten()
-            sets = _sets(h, flat.field(0).to_numpy().astype(np.int64) + offs[r]) if len(r) else np.zeros((0, 1), U)
-            yield pa.RecordBatch.from_arrays([flat.field(1), flat.field(2), flat.field(3), flat.field(4), pa.array([x.tobytes() for x in sets], pa.binary())], names=["name", "gid", "tile", "cross", "sets"])
-
-
-def _verify(g: pa.Table) -> pa.Table | None:
-    name = g.column("name").to_numpy()
-    _, first = np.unique(name, return_index=True)
-    if len(first) < 2:
-        return None
-    g = g.take(pa.array(np.sort(first)))
-    name, tile, cross = g.column("name").to_numpy(), g.column("tile").to_numpy(), g.column("cross")[0].as_py()
-    sets = [np.unique(np.frombuffer(x, U)) for x in g.column("sets").to_pylist()]
-    size = np.array([len(x) for x in sets])
-    vocabulary, code = np.unique(np.concatenate(sets), return_inverse=True)
-    cut = np.concatenate([[0], np.cumsum(size)])
-    mark = np.zeros(len(vocabulary), np.int16)
-    ok = np.zeros((len(name), len(name)), bool)
-    for i in range(len(name) - 1):
-        mark[code[cut[i] : cut[i + 1]]] = 1
-        both = np.add.reduceat(mark[code[cut[i + 1] :]], cut[i + 1 : -1] - cut[i + 1])
-        ok[i, i + 1 :] = both >= THRESHOLD * (size[i] + size[i + 1 :] - both) - 1e-9
-        mark[code[cut[i] : cut[i + 1]]] = 0
-    ok |= ok.T
-    if cross:
-        ok &= tile[:, None] != tile
-    if not ok.any():
+            r, flat = _hits(part, 1)
+            pos = flat.field(0).to_numpy().astype(np.int64)
+            for i in range(0, len(r), PAIRS):
+                g = _around(h, offs, r[i : i + PAIRS], pos[i : i + PAIRS])
+                short = np.where(g == 0, 0, np.maximum(g >> U(32), U(1))).astype(np.uint32)
+                own = flat.slice(i, PAIRS)
+                data = pa.Array.from_buffers(pa.binary(4 * AROUND), len(short), [None, pa.py_buffer(np.ascontiguousarray(short))]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([*[own.field(k) for k in range(1, 9)], data], names=["name", "gid", "tile", "cross", "doc", "first", "lo", "hi", "sets"])
+
+
+def _bounds(g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last start of a paragraph within the text, for each unit."""
+    on = g != 0
+    return on.argmax(1), AROUND - 1 - on[:, ::-1].argmax(1) - WIDE + 1
+
+
+def _before(g: np.ndarray) -> np.ndarray:
+    """Place of the last equal shingle before each one, else -1."""
+    order = np.argsort(g, axis=1, kind="stable")
+    s = np.take_along_axis(g, order, 1)
+    prev = np.full(g.shape, -1)
+    prev[:, 1:] = np.where(s[:, 1:] == s[:, :-1], order[:, :-1], -1)
+    out = np.empty(g.shape, np.int64)
+    np.put_along_axis(out, order, prev, 1)
+    return np.where(g == 0, -1, out)
+
+
+_START = np.arange(LEAD + 1)
+
+
+def _plain(a: np.ndarray, b: np.ndarray, at: np.ndarray, to: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of units without a repeated shingle: which paragraphs are alike, which shingles of ``a`` are shared."""
+    both, shared = np.zeros(at.shape, np.int64), np.zeros(a.shape, bool)
+    for s in range(-SHIFT, SHIFT + 1):
+        k0, k1 = max(0, -s), min(AROUND, AROUND - s)
+        eq = np.zeros(a.shape, bool)
+        eq[:, k0:k1] = (a[:, k0:k1] == b[:, k0 + s : k1 + s]) & (a[:, k0:k1] != 0)
+        shared |= eq
+        total = np.zeros((len(a), AROUND + 1), np.int16)
+        np.cumsum(eq, axis=1, out=total[:, 1:])
+        low, high = np.clip(np.maximum(at, to - s), 0, AROUND), np.clip(np.minimum(at, to - s) + WIDE, 0, AROUND)
+        both += np.take_along_axis(total, np.maximum(low, high), 1) - np.take_along_axis(total, low, 1)
+    return both >= THRESHOLD * (2 * WIDE - both) - 1e-9, shared
+
+
+def _looped(a: np.ndarray, b: np.ndarray, at: np.ndarray, to: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As :func:`_plain`, of any units: sets of shingles."""
+    eq = (a[:, :, None] == b[:, None, :]) & (a != 0)[:, :, None]
+    total = np.zeros((len(a), AROUND, AROUND + 1), np.int16)
+    np.cumsum(eq, axis=2, out=total[:, :, 1:])
+    old_a, old_b = _before(a), _before(b)
+    ok = np.zeros(at.shape, bool)
+    rows = np.arange(len(a))[:, None]
+    for i in range(at.shape[1]):
+        k, m = at[:, i, None] + np.arange(WIDE), to[:, i, None] + np.arange(WIDE)
+        new = old_a[rows, k] < at[:, i, None]
+        both = (new & (total[rows, k, to[:, i, None] + WIDE] > total[rows, k, to[:, i, None]])).sum(1)
+        size = new.sum(1) + (old_b[rows, m] < to[:, i, None]).sum(1)
+        ok[:, i] = both >= THRESHOLD * (size - both) - 1e-9
+    return ok, eq.any(2)
+
+
+def _covered(a: np.ndarray, b: np.ndarray, how) -> np.ndarray:
+    """Words of the units ``a`` that paragraphs alike to one of ``b`` cover."""
+    (low, high), (low_b, high_b) = _bounds(a), _bounds(b)
+    at = np.clip(_START, low[:, None], high[:, None])
+    ok, shared = how(a, b, at, np.clip(at, low_b[:, None], high_b[:, None]))
+    k = np.arange(AROUND)
+    after = np.minimum.accumulate(np.where(shared, k, AROUND)[:, ::-1], axis=1)[:, ::-1]
+    until = np.maximum.accumulate(np.where(shared, k, -1), axis=1)
+    edge = np.zeros((len(a), WORDS + 1), np.int32)
+    r, c = np.nonzero(ok)
+    np.add.at(edge, (r, after[r, at[r, c]]), 1)
+    np.add.at(edge, (r, until[r, at[r, c] + WIDE - 1] + SHINGLE), -1)
+    return np.cumsum(edge, axis=1)[:, :WORDS] > 0
+
+
+def _verify(t: pa.Table) -> pa.Table | None:
+    """Units of whole groups (by gid, in order) to covered words: name, start, end, the first document and least and greatest row that have them, a linked name."""
+    gid, name, tile = (t.column(x).to_numpy() for x in ("gid", "name", "tile"))
+    cross = t.column("cross").to_numpy(zero_copy_only=False)
+    doc, first, lo, hi = (t.column(x).to_numpy() for x in ("doc", "first", "lo", "hi"))
+    g = np.frombuffer(b"".join(t.column("sets").to_pylist()), np.uint32).reshape(-1, AROUND)
+    by = np.lexsort((first, doc))
+    rank = np.empty(len(gid), np.int64)
+    rank[by] = np.arange(len(by))
+    loops = (_before(g) >= 0).any(1)
+    big = np.iinfo(np.int64)
+    soon = np.full((len(g), WORDS), len(g))
+    least, most = np.full((len(g), WORDS), big.max), np.full((len(g), WORDS), big.min)
+
+    def pairs() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        cut = np.concatenate([[0], np.flatnonzero(gid[1:] != gid[:-1]) + 1, [len(gid)]])
+        held, n = [], 0
+        for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            for i in range(a, b - 1):
+                held.append((i, i + 1, b))
+                n += b - i - 1
+                if n >= PAIRS:
+                    yield spread(held)
+                    held, n = [], 0
+        if held:
+            yield spread(held)
+
+    def spread(held: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
+        i, j, e = np.array(held).T
+        n = e - j
+        return np.repeat(i, n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(j, n)
+
+    edges = []
+    for a, b in pairs():
+        ok = ~(cross[a] & (tile[a] == tile[b])) & (name[a] != name[b]) & ((lo[a] != hi[a]) | (lo[b] != hi[b]) | (lo[a] != lo[b]))
+        a, b = a[ok], b[ok]
+        loop = loops[a] | loops[b]
+        eq = (g[a] == g[b]) & (g[a] != 0)
+        ahead, behind = ~eq[:, LEAD:], ~eq[:, LEAD - 1 :: -1]
+        run = np.where(ahead.any(1), ahead.argmax(1), ahead.shape[1]) + np.where(behind.any(1), behind.argmax(1), behind.shape[1])
+        for pick, how, most_at_once in ((~loop & (run >= RUN - SHINGLE + 1), _plain, PAIRS), (loop, _looped, 128)):
+            x, y = a[pick], b[pick]
+            for k in range(0, len(x), most_at_once):
+                u, v = x[k : k + most_at_once], y[k : k + most_at_once]
+                for p, q in ((u, v), (v, u)):
+                    r, c = np.nonzero(_covered(g[p], g[q], how))
+                    np.minimum.at(soon, (p[r], c), rank[q[r]])
+                    np.minimum.at(least, (p[r], c), lo[q[r]])
+                    np.maximum.at(most, (p[r], c), hi[q[r]])
+                    there = np.unique(r)
+                    edges.append(np.stack([p[there], q[there]]))
+    on = soon < len(g)
+    if not on.any():
         return None
-    return pa.table({"a": name, "b": name[roots(ok)]})
+    same = (soon[:, 1:] == soon[:, :-1]) & (least[:, 1:] == least[:, :-1]) & (most[:, 1:] == most[:, :-1])
+    start = on.copy()
+    start[:, 1:] &= ~same
+    end = on.copy()
+    end[:, :-1] &= ~same
+    (r, s), (_, e) = np.nonzero(start), np.nonzero(end)
+    w = by[soon[r, s]]
+    out = {"name": name[r], "start": (s - LEAD).astype(np.int32), "end": (e + 1 - LEAD).astype(np.int32), "doc": doc[w], "first": first[w], "lo": least[r, s], "hi": most[r, s]}
+    a, b = np.concatenate(edges, axis=1)
+    root = _roots(len(g), a, b)
+    linked = np.flatnonzero(root != np.arange(len(g)))
+    none = np.zeros(len(linked), np.int64)
+    more = {"name": name[linked], "start": none.astype(np.int32), "end": none.astype(np.int32), "doc": none, "first": none, "lo": none, "hi": none}
+    to = pa.concat_arrays([pa.nulls(len(r), pa.int64()), pa.array(name[root[linked]])])
+    return pa.table({**{k: np.concatenate([out[k], more[k]]) for k in more}, "to": to})
+
+
+def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest member that the links ``a``, ``b`` reach from each of ``n``."""
+    root = np.arange(n)
+    while True:
+        new = root.copy()
+        np.minimum.at(new, a, root[b])
+        np.minimum.at(new, b, root[a])
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new
 
 
 def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,8 +315,8 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
         for r in batch.to_pylist():
-            every = union([(p["start"], p["start"] + HALF) for p in r["found"]])
-            gone = union([(p["start"], p["start"] + HALF) for p in r["found"] if p["removed"]])
+            every = union([(p["start"], p["end"]) for p in r["found"]])
+            gone = union([(p["start"], p["end"]) for p in r["found"] if p["removed"]])
             rows.append({
                 "doc_id": r["doc_id"], "n_repeated": sum(e - s for s, e in every), "n_removed": sum(e - s for s, e in gone),
                 "spans": [{"start": s, "end": e} for s, e in every], "removed": [{"start": s, "end": e} for s, e in gone], "clusters": sorted({p["cluster"] for p in r["found"]}),
@@ -190,18 +332,22 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     found = saved(rows.select("row", "text").mapInArrow(_anchor_rows, "key long, row long, pos int"))
     shared = found.groupBy("key").agg(F.min("row").alias("lo"), F.max("row").alias("hi")).where("lo <> hi").select("key")
     hits = found.join(shared, "key").groupBy("row").agg(F.collect_set(F.struct("pos", "key")).alias("hits"))
-    texts = saved(rows.join(hits, "row").select("row", "doc_id", "text", "hits"))
-    paragraphs = saved(texts.mapInArrow(_paragraph_rows, "name long, key long, side int, row long, doc_id long, start int").distinct())
-    classes = paragraphs.groupBy("key", "side", "name").agg(F.min(F.struct("row", "start")).alias("at"))
-    many = classes.groupBy("key", "side").agg(F.count("*").alias("members")).where("members > 1")
-    dealt = classes.join(many, ["key", "side"]).select("at.row", "at.start", "name", F.explode(tiles(F.xxhash64("key", "side"), F.col("name"), F.col("members"), TILE)).alias("to"))
-    wants = dealt.groupBy("row").agg(F.collect_set(F.struct("start", "name", "to.gid", "to.tile", "to.cross")).alias("wants"))
-    sets = texts.dropDuplicates(["row"]).join(wants, "row").select("text", "wants").mapInArrow(_set_rows, "name long, gid long, tile long, cross boolean, sets binary")
-    clusters = components(grouped(sets, "gid", _verify, "a long, b long")).withColumnRenamed("node", "name")
-    placed = paragraphs.select("name", "row", "doc_id", "start").distinct().join(clusters, "name", "left").withColumn("cluster", F.coalesce("component", "name"))
-    first = placed.groupBy("cluster").agg(F.min("row").alias("lo"), F.max("row").alias("hi"), F.min(F.struct("doc_id", "row", "start")).alias("first")).where("lo <> hi")
-    # read back, so that the join's sides are both dealt out anew and adaptive execution can split a hot cluster
-    marked = placed.join(saved(first), "cluster").select("doc_id", "row", F.struct("start", "cluster", (~F.struct("doc_id", "row", "start").eqNullSafe(F.col("first"))).alias("removed")).alias("p"))
+    texts = saved(rows.dropDuplicates(["row"]).join(hits, "row").select("row", "doc_id", "text", "hits"))
+    units = saved(texts.mapInArrow(_unit_rows, "name long, key long, row long, doc_id long, pos int, left int, right int"))
+    order = F.coalesce("doc_id", F.lit(-(1 << 63)))  # a null is before all ids
+    classes = saved(units.groupBy("key", "name").agg(F.min(F.struct(order.alias("doc"), "row")).alias("f"), F.min("row").alias("lo"), F.max("row").alias("hi"), F.min(F.struct("row", "pos")).alias("at"), F.first("left").alias("left"), F.first("right").alias("right")))
+    many = classes.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
+    dealt = classes.join(many, "key").select("at.row", "at.pos", "name", F.col("f.doc").alias("doc"), F.col("f.row").alias("first"), "lo", "hi", F.explode(tiles(F.col("key"), F.col("name"), F.col("members"), TILE)).alias("to"))
+    wants = dealt.groupBy("row").agg(F.collect_list(F.struct("pos", "name", "to.gid", "to.tile", "to.cross", "doc", "first", "lo", "hi")).alias("wants"))
+    sets = texts.join(wants, "row").select("text", "wants").mapInArrow(_set_rows, "name long, gid long, tile long, cross boolean, doc long, first long, lo long, hi long, sets binary")
+    verified = saved(grouped(sets, "gid", _verify, "name long, start int, end int, doc long, first long, lo long, hi long, to long", whole=True))
+    clusters = components(verified.where("to IS NOT NULL").select(F.col("name").alias("a"), F.col("to").alias("b"))).withColumnRenamed("node", "name")
+    equal = classes.where("lo <> hi").select("name", F.col("left").alias("start"), F.col("right").alias("end"), F.col("f.doc").alias("doc"), F.col("f.row").alias("first"), "lo", "hi")
+    parts = equal.unionByName(verified.where("to IS NULL").drop("to")).join(clusters, "name", "left").withColumn("cluster", F.coalesce("component", "name")).drop("component")
+    # read back, so that the join's sides are both dealt out anew and adaptive execution can split a hot class
+    placed = units.select("name", "row", "doc_id", "pos").join(saved(parts), "name").where((F.col("lo") != F.col("row")) | (F.col("hi") != F.col("row")))
+    earlier = F.struct("doc", "first") < F.struct(order, "row")
+    marked = placed.select("doc_id", "row", F.struct((F.col("pos") + F.col("start")).alias("start"), (F.col("pos") + F.col("end")).alias("end"), "cluster", earlier.alias("removed")).alias("p"))
     lists = marked.groupBy("row", "doc_id").agg(F.collect_list("p").alias("found"))
     span = "array<struct<start:int,end:int>>"
     return lists.mapInArrow(_spans, f"doc_id long, n_repeated long, n_removed long, spans {span}, removed {span}, clusters array<long>")
