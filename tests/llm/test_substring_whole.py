@@ -61,6 +61,21 @@ def test_near_copies_against_brute_force(spark):
     assert removed == gone
 
 
+def test_whole_passages_are_covered(spark):
+    rng, docs, want, n = random.Random(4), {}, {}, 0
+    for size in (50, 51, 60, 75, 100, 300):
+        p = fresh(rng, size)
+        for _ in range(3):
+            a = rng.randrange(60)
+            docs[n] = fresh(rng, a) + p + fresh(rng, rng.randrange(60))
+            want[n] = set(range(a, a + size))
+            n += 1
+    got, spans, removed = answers(spark, docs)
+    assert spans == want
+    assert removed == {i: want[i] if i % 3 else set() for i in docs}
+    assert all(r["n_repeated"] == len(want[i]) for i, r in got.items())
+
+
 def test_tiles_and_loops(spark, monkeypatch):
     rng = random.Random(5)
     p, loop = fresh(rng, 60), fresh(rng, 7)
