@@ -99,8 +99,8 @@ def do_motifs(spark: SparkSession, a: argparse.Namespace) -> None:
 
 def do_sites(spark: SparkSession, a: argparse.Namespace) -> None:
     """A list of aligned sites to a motif."""
-    rows = [r[0].strip().upper() for r in spark.read.text(a.sites).limit(1_000_000).collect() if r[0].strip()]
-    meme.write(spark, [pssm.from_sites(a.name or Path(a.sites).stem, rows)], a.out)
+    rows = spark.read.text(a.sites).select(F.upper(F.regexp_replace("value", r"^\s+|\s+$", "")).alias("s")).where("s <> ''")
+    meme.write(spark, [pssm.from_site_rows(a.name or Path(a.sites).stem, rows)], a.out)
 
 
 def do_plant(spark: SparkSession, a: argparse.Namespace) -> None:

@@ -66,6 +66,17 @@ def from_sites(name: str, sites: list[str], pseudo: float = 1.0) -> Motif:
     return Motif(name, p / p.sum(1, keepdims=True), len(sites))
 
 
+def from_site_rows(name: str, sites: DataFrame, pseudo: float = 1.0) -> Motif:
+    """:func:`from_sites` of a table (s: string) of any size: only counts come to the driver."""
+    low, high, n = sites.agg(F.min(F.length("s")), F.max(F.length("s")), F.count("*")).first()
+    if not n or low != high:
+        raise ValueError("sites have different lengths" if n else "no sites")
+    p = np.full((low, 4), pseudo)
+    for r in sites.select(F.posexplode(F.split("s", "")).alias("i", "b")).where(F.col("b").isin(*BASES)).groupBy("i", "b").count().collect():
+        p[r["i"], BASES.index(r["b"])] += r["count"]
+    return Motif(name, p / p.sum(1, keepdims=True), n)
+
+
 def uniform(name: str, width: int) -> Motif:
     return Motif(name, np.full((width, 4), 0.25))
 
