@@ -36,6 +36,9 @@ RECALL = 0.9999
 #: Members that a bucket of one label has on average.
 BUCKET = 32
 ITERATIONS = 40
+#: Pairs that the recall is measured on, and codes that are made for it, at most, before substrings get shorter.
+PROBES = 50_000
+MOST_CODES = 24
 ROUND = 1e-12
 
 
@@ -53,11 +56,48 @@ def learn(x: np.ndarray, bits: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     return mean, pca @ r
 
 
-def plan(n: int, dim: int, threshold: float, recall: float) -> tuple[int, int]:
-    """Bits of a substring, and how many tables reach ``recall`` at ``threshold``."""
+def at_threshold(x: np.ndarray, threshold: float, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """``PROBES`` pairs of unit vectors of cosine ``threshold``: vectors of ``x`` and turned ones.
+
+    Half of them are turned in a random direction, half in that of the vectors' own differences.
+    """
+    rng = np.random.default_rng(seed)
+    a = x[rng.integers(0, len(x), PROBES)]
+    d = rng.standard_normal(a.shape)
+    own = x[rng.integers(0, len(x), PROBES // 2)] - x[rng.integers(0, len(x), PROBES // 2)]
+    d[: PROBES // 2] = np.where(np.linalg.norm(own, axis=1, keepdims=True) > 1e-9, own, d[: PROBES // 2])
+    d -= (d * a).sum(1, keepdims=True) * a
+    size = np.linalg.norm(d, axis=1, keepdims=True)
+    ok = size[:, 0] > 1e-9  # in one dimension there is nowhere to turn
+    a, d = a[ok], d[ok] / size[ok]
+    return a, threshold * a + math.sqrt(max(0.0, 1 - threshold * threshold)) * d
+
+
+def keys_of(v: np.ndarray, codes: list[tuple[np.ndarray, np.ndarray]], width: int) -> np.ndarray:
+    """The tables' keys of unit vectors."""
+    bits = codes[0][1].shape[1] // width
+    return np.concatenate([((v - mean) @ proj >= 0).reshape(len(v), bits, width) @ (1 << np.arange(width, dtype=np.int64)) for mean, proj in codes], axis=1)
+
+
+def plan(x: np.ndarray, n: int, threshold: float, recall: float) -> tuple[int, list[tuple[np.ndarray, np.ndarray]]]:
+    """Bits of a substring, and as many codes as reach ``recall`` at ``threshold`` on pairs made from ``x``.
+
+    ``n``: vectors of the largest label.  Substrings are shortened where ``MOST_CODES`` codes don't do.
+    """
+    a, b = at_threshold(x, threshold)
+    dim = x.shape[1]
     width = min(dim, max(8, min(24, math.ceil(math.log2(max(2, n) / BUCKET)))))
-    agree = (1 - math.acos(threshold) / math.pi) ** width
-    return width, math.ceil(math.log(1 - recall) / math.log(1 - agree))
+    while True:
+        codes: list[tuple[np.ndarray, np.ndarray]] = []
+        apart = np.ones(len(a), bool)
+        while len(codes) < MOST_CODES:
+            codes.append(learn(x, dim // width * width, len(codes)))
+            apart[apart] = (keys_of(a[apart], codes[-1:], width) != keys_of(b[apart], codes[-1:], width)).all(1)
+            if apart.sum() <= (1 - recall) * len(a):
+                return width, codes
+        if width == 1:
+            return width, codes
+        width -= 1
 
 
 def links(vectors: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
@@ -78,9 +118,7 @@ def _links(spark: SparkSession, vectors: DataFrame, dim: int, largest: int, tota
     sample = vectors.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) <= int(min(1.0, SAMPLE / total) * (1 << 30))).select("x").toArrow()
     x = np.array(sample.column(0).combine_chunks().flatten(), dtype=np.float64).reshape(-1, dim)
     x = x / np.linalg.norm(x, axis=1, keepdims=True) if len(x) else np.zeros((1, dim))
-    width, count = plan(largest, dim, threshold, recall)
-    bits = dim // width * width
-    codes = [learn(x, bits, seed) for seed in range(-(-count * width // bits))]
+    width, codes = plan(x, largest, threshold, recall)
     held = spark.sparkContext.broadcast(codes)
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,11 +127,7 @@ def _links(spark: SparkSession, vectors: DataFrame, dim: int, largest: int, tota
                 continue
             v = np.array(batch.column(2).flatten(), dtype=np.float64).reshape(-1, dim)
             v = v / np.linalg.norm(v, axis=1, keepdims=True)
-            keys = []
-            for mean, proj in held.value:
-                on = ((v - mean) @ proj >= 0).reshape(len(v), bits // width, width)
-                keys.append(on @ (1 << np.arange(width, dtype=np.int64)))
-            keys = np.concatenate(keys, axis=1)
+            keys = keys_of(v, held.value, width)
             flat = pa.ListArray.from_arrays(np.arange(len(v) + 1, dtype=np.int32) * keys.shape[1], pa.array(keys.reshape(-1).astype(np.int64)))
             yield pa.RecordBatch.from_arrays([*batch.columns, flat], names=["vec_id", "label", "x", "keys"])
 
