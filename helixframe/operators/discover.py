@@ -123,7 +123,7 @@ def discover(seqs: DataFrame, motifs: int = 1, low: int = 0, high: int = 0, size
             own = em.prepared(own.join(placed, "seq").withColumn("gpos", F.col("gstart") + F.col("pos")).drop("gstart")).persist()
             places = own.count()
             text = seqs if gone is None else _masked(seqs, gone)
-            for start in starts(text, width, geometric(low, high, math.sqrt(2)), significance, places, every)[:per_width]:
+            for start in starts(text, width, geometric(low, high, math.sqrt(2)), significance, places, every, per_width):
                 r = em.run_em(own, from_seed(f"HF-{number}", start.seed), start.sites, places, most=iterations)
                 e, n, m = discretise(own, r.motif, r.lam, low, high, significance, places)
                 tried.append((e, n, start.seed, m, r))
