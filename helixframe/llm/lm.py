@@ -12,8 +12,9 @@ add-one unigram model that also gives ``base_score``.
 Counting and look-up share one pass.  A block of documents (some megabytes of text)
 reduces its n-grams to sorted distinct 64-bit hashes and sends them, dealt by hash
 range, as packed arrays with its training counts; the range's owner sums them up and
-answers each block with the totals of just the n-grams it asked for.  The block then holds
-the part of the automaton that its texts can reach and walks them left to right.
+answers each block with the totals of just the n-grams it asked for.  From these the
+block evaluates the arcs' closed form for all its tokens at once; states and failure arcs
+are built only in :class:`Automaton`, which tests hold the scores against.
 Which bits of the hashes count follows from the corpus's size.  No task ever holds the model, and no key is hot: a block sends each n-gram once.
 
 Edge cases: a null or empty text is one end token; repeated rows are counted and
