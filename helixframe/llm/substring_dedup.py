@@ -1,27 +1,35 @@
-"""Substring dedup: paragraphs found by sliding minima, verified whole, marked word by word.
-
-Repeated passages begin anywhere in a text, so paragraphs are all windows of ``PASSAGE``
-words.  Two paragraphs whose sets of five-word shingles have a Jaccard similarity of 0.8
-share 41 of 46 shingles at least, so one word may differ inside them, or some at the ends:
-they have ``RUN`` words in a row in common.  The keys of a text are the minima of its
-``GRAM``-word hashes over each ``RUN`` words, so such paragraphs share a key with certainty.
-Only keys that occur in several documents go on.
-
-A unit is such an anchor with all paragraphs around it.  Units of equal words are one
-class; classes that share a key are verified pair by pair: every paragraph of the one
-against the paragraph of the other on the anchor's diagonal (moved inwards at an end of the
-text), by the exact Jaccard of the whole paragraphs.  A verified paragraph covers the words
-from its first shared shingle to its last, so the union covers a repeated passage from
-end to end, and no word beside it.  Components of the verified links are the clusters.
-A covered word is removed if an earlier document (by id) has the paragraph.
-
-Not sought: paragraphs that are alike only with their blocks swapped.  In texts that loop
-within a paragraph a run of ``RUN`` words isn't certain, as single shingles weigh more there.
+"""Substring dedup: MinHash bands over all 50-word paragraphs, exact Jaccard in each bucket, components.
+
+Repeated passages begin anywhere in a text, so paragraphs are all windows of ``PASSAGE`` words,
+as sets of five-word shingles.  Texts that are equal are handled once, as one content.
+
+1. *Prefilter, without loss.*  Two paragraphs of a Jaccard similarity of 0.8 share 41 of 46
+   shingles at least, so they have ``RUN`` words in a row in common.  The minima of
+   ``GRAM``-word hashes over each ``RUN`` words are a text's anchors; only paragraphs that hold
+   an anchor of another content go on.
+2. *Bands.*  Each paragraph has ``BANDS`` keys of ``ROWS`` minima, by sliding minima over the text.
+   Neighbouring paragraphs mostly share a key and are one row, a run.  A pair of similarity s
+   meets with a probability of 1 - (1 - s**ROWS)**BANDS:
+   0.998 at 0.8, 0.9997 at 0.85, 0.99997 at 0.9, 0.43 at 0.3, 0.06 at 0.1.
+3. *Verification in each bucket.*  Runs of equal words are one class, and of each distinct
+   set of shingles one paragraph is looked at.  At 0.8 a paragraph lacks five shingles at most: those around one
+   word that was changed, put in or left out, where two blocks were exchanged, or at its ends.  So
+   two paragraphs are alike if they agree once such a block is dropped from each; the
+   sums of hashes that remain are sorted, and equal sums are shared sets of 41 shingles or more.  That is exact
+   and linear in the bucket, however many near copies it holds.  A bucket beyond ``TILE``
+   classes is dealt out in pairs of tiles.
+4. *Removal.*  A verified paragraph covers the words from its first shared shingle to its last, so the union
+   covers a repeated passage from end to end, and no word beside it.  Components of the
+   links are the clusters; a covered word is removed if an earlier document (by id) has the
+   paragraph.
+
+In texts that loop, a paragraph has fewer distinct shingles, D; there a block of up to an eighth of what stays may be
+dropped from each side.
 
 Edge cases: texts of less than ``PASSAGE`` words, null and empty ones have no paragraph;
 rows with equal id and text are one document, with equal id and other text several; a
 passage repeated only inside one document stays; an empty table gives no rows; other
-columns are ignored.
+columns are ignored.  A very long text is handled in one piece by its task, with some 100 bytes for each word.
 """
 
 from __future__ import annotations
@@ -36,25 +44,22 @@ from pyspark.sql import functions as F
 
 from ..session import ship
 from . import kernel
-from .common import saved, table
+from .common import dropped, saved, table
 from .components import components, grouped, tiles
 
 SHINGLE = 5
 PASSAGE = 50
 RUN, GRAM = 25, 10
-THRESHOLD = 0.8
+BANDS, ROWS = 6, 2
 TILE = 2048
-#: Shingles of a paragraph; words before an anchor; shingles and words of a unit.
+#: Shingles of a paragraph, and how many of them a paragraph of a similarity of 0.8 may lack.
 WIDE = PASSAGE - SHINGLE + 1
-LEAD = PASSAGE - GRAM
-AROUND = LEAD + WIDE
-WORDS = LEAD + PASSAGE
-#: Diagonals beside the anchor's: one word put in or left out moves the rest by one.
-SHIFT = 2
-#: Pairs of units that are compared at once.
-PAIRS = 4096
+LOST = 5
+#: Distinct paragraphs whose keys are sorted at once (a bucket's are never parted).
+CHUNK = 1 << 14
 
 U = np.uint64
+_ODD = np.random.default_rng(20240301).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * U(2) + U(1)
 
 
 def _sliding(x: np.ndarray, w: int, op: np.ufunc, pad: int) -> np.ndarray:
@@ -76,13 +81,14 @@ def anchors(h: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     if len(h) < PASSAGE:
         return none, none, np.zeros(0, U)
     g = kernel.grams(h, GRAM)
-    row = np.repeat(np.arange(len(offs) - 1), np.diff(offs))
+    size = np.diff(offs)
+    row = np.repeat(np.arange(len(size)), size)
     low = _sliding(g, w, np.minimum, (1 << 64) - 1)
     # windows of RUN words that lie within one text of PASSAGE words or more
     j = np.arange(len(low))
     inside = np.zeros(len(low), bool)
     ok = j + RUN <= len(h)
-    inside[ok] = (row[j[ok]] == row[j[ok] + RUN - 1]) & (np.diff(offs)[row[j[ok]]] >= PASSAGE)
+    inside[ok] = (row[j[ok]] == row[j[ok] + RUN - 1]) & (size[row[j[ok]]] >= PASSAGE)
     low = np.where(inside, low, U(0))
     top = _sliding(np.concatenate([np.zeros(w - 1, U), low]), w, np.maximum, 0)
     pos = np.flatnonzero((top == g[: len(top)]) & (top > 0))
@@ -99,199 +105,261 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, b in kernel.slices(batch.column(1)):
             r, at, key = anchors(*kernel.words(batch.column(1).slice(a, b - a), kernel.ALNUM))
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column(0).slice(a, b - a).take(pa.array(r)), pa.array(at.astype(np.int32))], names=["key", "row", "pos"])
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column(0).slice(a, b - a).take(pa.array(r)), pa.array(at.astype(np.int32))], names=["key", "content", "pos"])
 
 
-def _around(h: np.ndarray, offs: np.ndarray, r: np.ndarray, pos: np.ndarray) -> np.ndarray:
-    """Shingle hashes of the units at ``pos`` of the texts ``r``; 0 beyond the text."""
-    at = pos[:, None] + np.arange(-LEAD, WIDE)
-    ok = (at >= 0) & (at + SHINGLE <= np.diff(offs)[r][:, None])
-    g = np.maximum(kernel.grams(h, SHINGLE), U(1))
-    return np.where(ok, g[np.where(ok, at + offs[r][:, None], 0)], U(0))
+def _hits(part: pa.RecordBatch, column: int) -> tuple[np.ndarray, pa.Array]:
+    lists = part.column(column)
+    return np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False)), lists.flatten()
 
 
-_PLACE = np.random.default_rng(7).integers(0, 1 << 63, AROUND, dtype=np.uint64)
+def candidates(offs: np.ndarray, r: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    """Which paragraphs (by first word, over the slice) hold an anchor at ``pos`` of text ``r``."""
+    size = np.diff(offs)
+    edge = np.zeros(int(offs[-1]) + 1, np.int32)
+    lo, hi = np.maximum(pos + GRAM - PASSAGE, 0), np.minimum(pos, size[r] - PASSAGE)
+    np.add.at(edge, offs[r] + lo, 1)
+    np.add.at(edge, offs[r] + hi + 1, -1)
+    return np.cumsum(edge)[:-1] > 0
 
 
-def _hits(part: pa.RecordBatch, column: int) -> tuple[np.ndarray, pa.StructArray]:
-    lists = part.column(column)
-    return np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False)), lists.flatten()
+def bands(h: np.ndarray) -> Iterator[np.ndarray]:
+    """For each band the key of the paragraph that begins at each word."""
+    g = kernel.grams(h, SHINGLE)
+    for b in range(BANDS):
+        key = np.full(len(h) - WIDE + 1, U(b + 1))
+        for k in range(b * ROWS, (b + 1) * ROWS):
+            key = kernel.mix(key * U(kernel.MULT) + _sliding(g * _ODD[k], WIDE, np.minimum, (1 << 64) - 1))
+        yield key
 
 
-def _unit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """row, doc_id, text, hits (structs pos, key) to units."""
+def _run_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """content, doc, text, anchors (positions) to runs of paragraphs with one band key."""
     for batch in batches:
         for a, b in kernel.slices(batch.column(2)):
             part = batch.slice(a, b - a)
             h, offs = kernel.words(part.column(2), kernel.ALNUM)
+            if len(h) < PASSAGE:
+                continue
             r, flat = _hits(part, 3)
-            pos = flat.field(0).to_numpy().astype(np.int64)
-            name = [kernel.mix(kernel.mix(_around(h, offs, r[i : i + PAIRS], pos[i : i + PAIRS]) ^ _PLACE).sum(1, dtype=U)) for i in range(0, len(r), PAIRS)]
-            name = np.concatenate(name).view(np.int64) if name else np.zeros(0, np.int64)
-            size = np.diff(offs)[r]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(name), flat.field(1), part.column(0).take(pa.array(r)), part.column(1).take(pa.array(r)), pa.array(pos.astype(np.int32)), pa.array(np.maximum(-LEAD, -pos).astype(np.int32)), pa.array(np.minimum(PASSAGE, size - pos).astype(np.int32))],
-                names=["name", "key", "row", "doc_id", "pos", "left", "right"],
-            )
+            on = candidates(offs, r, flat.to_numpy().astype(np.int64))[: len(h) - WIDE + 1]
+            g = kernel.mix(kernel.grams(h, SHINGLE))
+            power = kernel._powers(kernel.MULT, len(h) + 1)
+            total = np.zeros(len(h) + 1, U)
+            np.cumsum(g * power[: len(h)], out=total[1:])
+            back = kernel._powers(kernel._INVERSE, len(h) + 1)
+            row = np.repeat(np.arange(len(offs) - 1), np.diff(offs))[: len(on)]
+            for band, key in enumerate(bands(h)):
+                cut = np.ones(len(on) + 1, bool)
+                cut[1:-1] = (key[1:] != key[:-1]) | (on[1:] != on[:-1]) | (row[1:] != row[:-1])
+                at = np.flatnonzero(cut)
+                s, e = at[:-1], at[1:]
+                s, e = s[on[s]], e[on[s]]
+                words = (total[e + WIDE - 1] - total[s]) * back[s]
+                name = kernel.mix(kernel.mix(words) ^ key[s])
+                of = pa.array(row[s])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(s), band, np.int32)), pa.array(key[s].view(np.int64)), pa.array(name.view(np.int64)), part.column(0).take(of), part.column(1).take(of), pa.array((s - offs[row[s]]).astype(np.int32)), pa.array((e - s).astype(np.int32))],
+                    names=["band", "key", "name", "content", "doc", "pos", "many"],
+                )
 
 
 def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """text and wants (structs pos, name, gid, tile, cross, doc, first, lo, hi) to the wanted units."""
+    """text and wants (structs pos, many, name, gid, exact, doc, first, lo, hi) to the wanted runs' shingles."""
     for batch in batches:
         for a, b in kernel.slices(batch.column(0)):
             part = batch.slice(a, b - a)
             h, offs = kernel.words(part.column(0), kernel.ALNUM)
             r, flat = _hits(part, 1)
-            pos = flat.field(0).to_numpy().astype(np.int64)
-            for i in range(0, len(r), PAIRS):
-                g = _around(h, offs, r[i : i + PAIRS], pos[i : i + PAIRS])
-                short = np.where(g == 0, 0, np.maximum(g >> U(32), U(1))).astype(np.uint32)
-                own = flat.slice(i, PAIRS)
-                data = pa.Array.from_buffers(pa.binary(4 * AROUND), len(short), [None, pa.py_buffer(np.ascontiguousarray(short))]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([*[own.field(k) for k in range(1, 9)], data], names=["name", "gid", "tile", "cross", "doc", "first", "lo", "hi", "sets"])
-
-
-def _bounds(g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First and last start of a paragraph within the text, for each unit."""
-    on = g != 0
-    return on.argmax(1), AROUND - 1 - on[:, ::-1].argmax(1) - WIDE + 1
-
-
-def _before(g: np.ndarray) -> np.ndarray:
-    """Place of the last equal shingle before each one, else -1."""
-    order = np.argsort(g, axis=1, kind="stable")
-    s = np.take_along_axis(g, order, 1)
-    prev = np.full(g.shape, -1)
-    prev[:, 1:] = np.where(s[:, 1:] == s[:, :-1], order[:, :-1], -1)
-    out = np.empty(g.shape, np.int64)
-    np.put_along_axis(out, order, prev, 1)
-    return np.where(g == 0, -1, out)
-
-
-_START = np.arange(LEAD + 1)
-
-
-def _plain(a: np.ndarray, b: np.ndarray, at: np.ndarray, to: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of units without a repeated shingle: which paragraphs are alike, which shingles of ``a`` are shared."""
-    both, shared = np.zeros(at.shape, np.int64), np.zeros(a.shape, bool)
-    for s in range(-SHIFT, SHIFT + 1):
-        k0, k1 = max(0, -s), min(AROUND, AROUND - s)
-        eq = np.zeros(a.shape, bool)
-        eq[:, k0:k1] = (a[:, k0:k1] == b[:, k0 + s : k1 + s]) & (a[:, k0:k1] != 0)
-        shared |= eq
-        total = np.zeros((len(a), AROUND + 1), np.int16)
-        np.cumsum(eq, axis=1, out=total[:, 1:])
-        low, high = np.clip(np.maximum(at, to - s), 0, AROUND), np.clip(np.minimum(at, to - s) + WIDE, 0, AROUND)
-        both += np.take_along_axis(total, np.maximum(low, high), 1) - np.take_along_axis(total, low, 1)
-    return both >= THRESHOLD * (2 * WIDE - both) - 1e-9, shared
-
-
-def _looped(a: np.ndarray, b: np.ndarray, at: np.ndarray, to: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """As :func:`_plain`, of any units: sets of shingles."""
-    eq = (a[:, :, None] == b[:, None, :]) & (a != 0)[:, :, None]
-    total = np.zeros((len(a), AROUND, AROUND + 1), np.int16)
-    np.cumsum(eq, axis=2, out=total[:, :, 1:])
-    old_a, old_b = _before(a), _before(b)
-    ok = np.zeros(at.shape, bool)
-    rows = np.arange(len(a))[:, None]
-    for i in range(at.shape[1]):
-        k, m = at[:, i, None] + np.arange(WIDE), to[:, i, None] + np.arange(WIDE)
-        new = old_a[rows, k] < at[:, i, None]
-        both = (new & (total[rows, k, to[:, i, None] + WIDE] > total[rows, k, to[:, i, None]])).sum(1)
-        size = new.sum(1) + (old_b[rows, m] < to[:, i, None]).sum(1)
-        ok[:, i] = both >= THRESHOLD * (size - both) - 1e-9
-    return ok, eq.any(2)
-
-
-def _covered(a: np.ndarray, b: np.ndarray, how) -> np.ndarray:
-    """Words of the units ``a`` that paragraphs alike to one of ``b`` cover."""
-    (low, high), (low_b, high_b) = _bounds(a), _bounds(b)
-    at = np.clip(_START, low[:, None], high[:, None])
-    ok, shared = how(a, b, at, np.clip(at, low_b[:, None], high_b[:, None]))
-    k = np.arange(AROUND)
-    after = np.minimum.accumulate(np.where(shared, k, AROUND)[:, ::-1], axis=1)[:, ::-1]
-    until = np.maximum.accumulate(np.where(shared, k, -1), axis=1)
-    edge = np.zeros((len(a), WORDS + 1), np.int32)
-    r, c = np.nonzero(ok)
-    np.add.at(edge, (r, after[r, at[r, c]]), 1)
-    np.add.at(edge, (r, until[r, at[r, c] + WIDE - 1] + SHINGLE), -1)
-    return np.cumsum(edge, axis=1)[:, :WORDS] > 0
+            short = (kernel.grams(h, SHINGLE) >> U(32)).astype(np.uint32)
+            for i in range(0, len(r), CHUNK):
+                own = flat.slice(i, CHUNK)
+                start = offs[r[i : i + CHUNK]] + own.field(0).to_numpy()
+                size = own.field(1).to_numpy().astype(np.int64) + WIDE - 1
+                _, at = kernel.runs(start, size)
+                cut = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+                data = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(cut * np.int32(4)), pa.py_buffer(np.ascontiguousarray(short[at]))])
+                yield pa.RecordBatch.from_arrays([*[own.field(k) for k in range(2, 9)], data], names=["name", "gid", "exact", "doc", "first", "lo", "hi", "sets"])
+
+
+class Windows:
+    """The distinct paragraphs of the buckets of some runs, with the contents that have them."""
+
+    def __init__(self, gid: np.ndarray, flat: np.ndarray, cut: np.ndarray, rank: np.ndarray, lo: np.ndarray, hi: np.ndarray):
+        """``flat[cut[u]:cut[u + 1]]``: shingles of run ``u``; ``rank``, ``lo``, ``hi``: its first document, least and greatest content."""
+        size = np.diff(cut)
+        v = kernel.mix(flat.astype(U) * U(kernel.MULT) + U(1))
+        self.unit, start = kernel.runs(cut[:-1], size - WIDE + 1)
+        self.at = start - cut[self.unit]
+        # places of the last equal shingle of the run: a paragraph loops if it holds both
+        run = np.repeat(np.arange(len(size)), size)
+        order = np.lexsort((flat, run))
+        same = (flat[order[1:]] == flat[order[:-1]]) & (run[order[1:]] == run[order[:-1]])
+        before = np.full(len(flat), -1)
+        before[order[1:][same]] = order[:-1][same]
+        # a shingle counts in the paragraphs that begin after its last equal one
+        first = np.maximum(np.maximum(before + 1, np.arange(len(flat)) - WIDE + 1), cut[run])
+        edge, count = np.zeros(len(flat) + 1, U), np.zeros(len(flat) + 1, np.int64)
+        np.add.at(edge, first, v)
+        np.add.at(count, first, 1)
+        edge[1:] -= v
+        count[1:] -= 1
+        total, distinct = np.cumsum(edge, dtype=U)[start], np.cumsum(count)[start]
+        name = kernel.mix(total ^ kernel.mix(gid[self.unit].astype(U)))
+        _, pick, self.of = np.unique(name, return_index=True, return_inverse=True)
+        self.n, self.v, self.before, self.start = len(pick), v, before, start[pick]
+        self.total, self.distinct, self.gid = total[pick], distinct[pick], gid[self.unit[pick]].astype(U)
+        self.rank = np.full(self.n, len(rank))
+        self.lo, self.hi = np.full(self.n, np.iinfo(np.int64).max), np.full(self.n, np.iinfo(np.int64).min)
+        np.minimum.at(self.rank, self.of, rank[self.unit])
+        np.minimum.at(self.lo, self.of, lo[self.unit])
+        np.maximum.at(self.hi, self.of, hi[self.unit])
+
+    def plain(self, own: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """Of paragraphs ``own`` without a loop: number, what remains without a block, shingles missing at the start and end."""
+        x = self.v[self.start[own][:, None] + np.arange(WIDE)]
+        run = np.zeros((len(own), WIDE + LOST), U)
+        np.cumsum(np.concatenate([x, x[:, : LOST - 1]], axis=1), axis=1, out=run[:, 1:])
+        total = self.total[own][:, None]
+        c = np.arange(WIDE)  # blocks of five, round the end
+        front = np.maximum(c + LOST - WIDE, 0)
+        left, right = np.where(c == 0, LOST, front), np.where(c + LOST >= WIDE, LOST - front, 0)
+        yield from self._spread(own, total - (run[:, LOST : WIDE + LOST] - run[:, :WIDE]), left, right)
+        four = run[:, LOST:WIDE] - run[:, 1 : WIDE - LOST + 1]  # blocks of four inside, alone and with either end
+        none = np.zeros(four.shape[1], np.int64)
+        first, last = none + 1, none + 1
+        first[0] = last[-1] = LOST  # the block lies beside the end
+        yield from self._spread(own, total - four, none, none)
+        yield from self._spread(own, total - four - x[:, :1], first, none)
+        yield from self._spread(own, total - four - x[:, -1:], none, last)
+
+    @staticmethod
+    def _spread(own: np.ndarray, rest: np.ndarray, left: np.ndarray, right: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        n, m = rest.shape
+        yield np.repeat(own, m), rest.reshape(-1), np.tile(left, n), np.tile(right, n)
+
+    def looped(self, own: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """As :meth:`plain`, of paragraphs that loop: blocks of up to an eighth of what stays."""
+        for size in np.unique(self.distinct[own]).tolist():
+            part = own[self.distinct[own] == size]
+            at = self.start[part][:, None] + np.arange(WIDE)
+            new = self.before[at] < self.start[part][:, None]
+            place = np.nonzero(new)[1].reshape(len(part), size)  # first places of the distinct shingles
+            x = np.take_along_axis(self.v[at], place, 1)
+            last = np.full((len(part), size), 0)
+            value = self.v[at]
+            for k in range(size):
+                last[:, k] = WIDE - 1 - (value[:, ::-1] == x[:, k : k + 1]).argmax(1)
+            ring = np.concatenate([x, x], axis=1)
+            run = np.zeros((len(part), 2 * size + 1), U)
+            np.cumsum(ring, axis=1, out=run[:, 1:])
+            for drop in range(size // 9 + 1):
+                for c in range(size if drop else 1):
+                    gone = np.arange(c, c + drop) % size
+                    stay = np.setdiff1d(np.arange(size), gone)
+                    yield part, self.total[part] - (run[:, c + drop] - run[:, c]), place[:, stay].min(1), WIDE - 1 - last[:, stay].max(1)
+
+    def alike(self) -> Iterator[tuple[np.ndarray, ...]]:
+        """Paragraphs with a partner of another content in their bucket: number, shingles missing at the start
+        and end, first document, least and greatest content, and a paragraph that stands for all its partners."""
+        loop = self.distinct < WIDE
+        order = np.argsort(self.gid, kind="stable")
+        gid = self.gid[order]
+        ends = np.flatnonzero(np.append(gid[1:] != gid[:-1], True)) + 1
+        a = 0
+        while a < self.n:  # whole buckets
+            b = int(ends[min(len(ends) - 1, np.searchsorted(ends, a + CHUNK))])
+            own = order[a:b]
+            a = b
+            plain, looped = own[~loop[own]], own[loop[own]]
+            parts = [*(self.plain(plain) if len(plain) else ()), *(self.looped(looped) if len(looped) else ())]
+            which, rest, left, right = (np.concatenate(x) for x in zip(*parts, strict=True))
+            key = kernel.mix(rest ^ kernel.mix(self.gid[which]))
+            bits = max(16, int(len(key)).bit_length() + 1)
+            slot = (key >> U(64 - bits)).astype(np.int64)
+            twice = np.flatnonzero(np.bincount(slot, minlength=1 << bits)[slot] > 1)
+            twice = twice[np.argsort(key[twice], kind="stable")]
+            k = key[twice]
+            if not len(k):
+                continue
+            new = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+            segment = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(k))))
+            w = which[twice]
+            lo, hi = np.minimum.reduceat(self.lo[w], new), np.maximum.reduceat(self.hi[w], new)
+            rank, head = np.minimum.reduceat(self.rank[w], new), np.minimum.reduceat(w, new)
+            ok = (lo != hi)[segment]
+            s, t = segment[ok], twice[ok]
+            yield w[ok], left[t], right[t], rank[s], lo[s], hi[s], head[s]
 
 
 def _verify(t: pa.Table) -> pa.Table | None:
-    """Units of whole groups (by gid, in order) to covered words: name, start, end, the first document and least and greatest row that have them, a linked name."""
-    gid, name, tile = (t.column(x).to_numpy() for x in ("gid", "name", "tile"))
-    cross = t.column("cross").to_numpy(zero_copy_only=False)
+    """Runs of whole buckets (by gid, in order) to covered words: name, start, end, the first document and least and greatest content that have them, a linked name."""
+    gid, name = t.column("gid").to_numpy(), t.column("name").to_numpy()
+    exact = t.column("exact").to_numpy(zero_copy_only=False)
     doc, first, lo, hi = (t.column(x).to_numpy() for x in ("doc", "first", "lo", "hi"))
-    g = np.frombuffer(b"".join(t.column("sets").to_pylist()), np.uint32).reshape(-1, AROUND)
+    data = t.column("sets").to_pylist()
+    cut = np.concatenate([[0], np.cumsum([len(x) // 4 for x in data])])
     by = np.lexsort((first, doc))
     rank = np.empty(len(gid), np.int64)
     rank[by] = np.arange(len(by))
-    loops = (_before(g) >= 0).any(1)
-    big = np.iinfo(np.int64)
-    soon = np.full((len(g), WORDS), len(g))
-    least, most = np.full((len(g), WORDS), big.max), np.full((len(g), WORDS), big.min)
-
-    def pairs() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        cut = np.concatenate([[0], np.flatnonzero(gid[1:] != gid[:-1]) + 1, [len(gid)]])
-        held, n = [], 0
-        for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-            for i in range(a, b - 1):
-                held.append((i, i + 1, b))
-                n += b - i - 1
-                if n >= PAIRS:
-                    yield spread(held)
-                    held, n = [], 0
-        if held:
-            yield spread(held)
-
-    def spread(held: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
-        i, j, e = np.array(held).T
-        n = e - j
-        return np.repeat(i, n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(j, n)
-
-    edges = []
-    for a, b in pairs():
-        ok = ~(cross[a] & (tile[a] == tile[b])) & (name[a] != name[b]) & ((lo[a] != hi[a]) | (lo[b] != hi[b]) | (lo[a] != lo[b]))
-        a, b = a[ok], b[ok]
-        loop = loops[a] | loops[b]
-        eq = (g[a] == g[b]) & (g[a] != 0)
-        ahead, behind = ~eq[:, LEAD:], ~eq[:, LEAD - 1 :: -1]
-        run = np.where(ahead.any(1), ahead.argmax(1), ahead.shape[1]) + np.where(behind.any(1), behind.argmax(1), behind.shape[1])
-        for pick, how, most_at_once in ((~loop & (run >= RUN - SHINGLE + 1), _plain, PAIRS), (loop, _looped, 128)):
-            x, y = a[pick], b[pick]
-            for k in range(0, len(x), most_at_once):
-                u, v = x[k : k + most_at_once], y[k : k + most_at_once]
-                for p, q in ((u, v), (v, u)):
-                    r, c = np.nonzero(_covered(g[p], g[q], how))
-                    np.minimum.at(soon, (p[r], c), rank[q[r]])
-                    np.minimum.at(least, (p[r], c), lo[q[r]])
-                    np.maximum.at(most, (p[r], c), hi[q[r]])
-                    there = np.unique(r)
-                    edges.append(np.stack([p[there], q[there]]))
-    on = soon < len(g)
-    if not on.any():
+    w = Windows(gid, np.frombuffer(b"".join(data), np.uint32), cut, rank, lo, hi)
+    # equal paragraphs of other contents, then alike ones: (paragraph, left, right, first, lo, hi)
+    twin = np.flatnonzero(w.lo != w.hi)
+    zero = np.zeros(len(twin), np.int64)
+    own = np.full(w.n, -1)
+    own[w.of[::-1]] = w.unit[::-1]  # a run that has the paragraph
+    links = [(w.unit, own[w.of])]
+    links[0] = tuple(x[(w.lo != w.hi)[w.of]] for x in links[0])
+    records = [np.stack([twin, zero, zero, w.rank[twin], w.lo[twin], w.hi[twin]])]
+    for which, left, right, r, low, high, head in w.alike():
+        own_only = w.lo[which] == w.hi[which]
+        keep = ~((left == 0) & (right == 0) & ~own_only & (w.rank[which] <= r))  # equal ones say as much
+        cols = np.stack([which, left, right, r, low, high])[:, keep]
+        order = np.lexsort(cols[[3, 2, 1, 0]])
+        cols = cols[:, order]
+        cell = np.flatnonzero(np.concatenate([[True], (cols[:3, 1:] != cols[:3, :-1]).any(0)])) if cols.shape[1] else np.zeros(0, np.int64)
+        if len(cell):
+            records.append(np.stack([*cols[:3, cell], np.minimum.reduceat(cols[3], cell), np.minimum.reduceat(cols[4], cell), np.maximum.reduceat(cols[5], cell)]))
+        links.append((own[which], own[head]))
+    found = np.concatenate(records, axis=1)
+    if not found.shape[1]:
         return None
-    same = (soon[:, 1:] == soon[:, :-1]) & (least[:, 1:] == least[:, :-1]) & (most[:, 1:] == most[:, :-1])
-    start = on.copy()
-    start[:, 1:] &= ~same
-    end = on.copy()
-    end[:, :-1] &= ~same
-    (r, s), (_, e) = np.nonzero(start), np.nonzero(end)
-    w = by[soon[r, s]]
-    out = {"name": name[r], "start": (s - LEAD).astype(np.int32), "end": (e + 1 - LEAD).astype(np.int32), "doc": doc[w], "first": first[w], "lo": least[r, s], "hi": most[r, s]}
-    a, b = np.concatenate(edges, axis=1)
-    root = _roots(len(g), a, b)
-    linked = np.flatnonzero(root != np.arange(len(g)))
+    a, b = (np.concatenate(x) for x in zip(*links, strict=True))
+    # a record without missing ends and with as early a document makes the narrower ones superfluous
+    best = np.full(w.n, len(gid) + 1)
+    full = (found[1] == 0) & (found[2] == 0)
+    np.minimum.at(best, found[0][full], found[3][full])
+    found = found[:, full | (found[3] < best[found[0]])]
+    # to the runs that have the paragraph, neighbours with one answer together
+    order = np.argsort(found[0], kind="stable")
+    found = found[:, order]
+    begin, end = np.searchsorted(found[0], np.arange(w.n)), np.searchsorted(found[0], np.arange(w.n), side="right")
+    here, at = kernel.runs(begin[w.of], (end - begin)[w.of])
+    rec, unit, pos = found[1:, at], w.unit[here], w.at[here]
+    plain_twin = (rec[0] == 0) & (rec[1] == 0) & (w.lo[w.of[here]] != w.hi[w.of[here]]) & (rec[2] == w.rank[w.of[here]])
+    ok = ~plain_twin | exact[unit]  # equal paragraphs are reported by the first band alone
+    rec, unit, pos = rec[:, ok], unit[ok], pos[ok]
+    order = np.lexsort((pos, *rec, unit))
+    rec, unit, pos = rec[:, order], unit[order], pos[order]
+    new = np.ones(len(unit), bool)
+    new[1:] = (unit[1:] != unit[:-1]) | (rec[:, 1:] != rec[:, :-1]).any(0) | (pos[1:] > pos[:-1] + PASSAGE - 2 * LOST)
+    s = np.flatnonzero(new)
+    e = np.append(s[1:], len(unit)) - 1 if len(s) else s
+    d = by[np.minimum(rec[2][s], len(by) - 1)] if len(s) else s
+    out = {"name": name[unit[s]], "start": (pos[s] + rec[0][s]).astype(np.int32), "end": (pos[e] + PASSAGE - rec[1][s]).astype(np.int32), "doc": doc[d], "first": first[d], "lo": rec[3][s], "hi": rec[4][s]}
+    root = _roots(len(gid), a, b)
+    linked = np.flatnonzero(root != np.arange(len(gid)))
     none = np.zeros(len(linked), np.int64)
     more = {"name": name[linked], "start": none.astype(np.int32), "end": none.astype(np.int32), "doc": none, "first": none, "lo": none, "hi": none}
-    to = pa.concat_arrays([pa.nulls(len(r), pa.int64()), pa.array(name[root[linked]])])
+    to = pa.concat_arrays([pa.nulls(len(s), pa.int64()), pa.array(name[root[linked]])])
     return pa.table({**{k: np.concatenate([out[k], more[k]]) for k in more}, "to": to})
 
 
 def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The smallest member that the links ``a``, ``b`` reach from each of ``n``."""
     root = np.arange(n)
+    pair = np.unique(a * n + b)
+    a, b = pair // max(n, 1), pair % max(n, 1)
     while True:
         new = root.copy()
         np.minimum.at(new, a, root[b])
@@ -315,42 +383,57 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
         for r in batch.to_pylist():
-            every = union([(p["start"], p["end"]) for p in r["found"]])
-            gone = union([(p["start"], p["end"]) for p in r["found"] if p["removed"]])
+            found = r["found"] or []
+            every = union([(p["start"], p["end"]) for p in found] + ([(0, r["whole"])] if r["whole"] else []))
+            gone = union([(p["start"], p["end"]) for p in found if p["removed"]] + ([(0, r["whole"])] if r["whole"] and r["later"] else []))
             rows.append({
                 "doc_id": r["doc_id"], "n_repeated": sum(e - s for s, e in every), "n_removed": sum(e - s for s, e in gone),
-                "spans": [{"start": s, "end": e} for s, e in every], "removed": [{"start": s, "end": e} for s, e in gone], "clusters": sorted({p["cluster"] for p in r["found"]}),
+                "spans": [{"start": s, "end": e} for s, e in every], "removed": [{"start": s, "end": e} for s, e in gone],
+                "clusters": sorted({p["cluster"] for p in found} | ({r["content"]} if r["whole"] else set())),
             })
         span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-        yield pa.RecordBatch.from_pylist(rows, pa.schema([("doc_id", batch.schema.field(1).type), ("n_repeated", pa.int64()), ("n_removed", pa.int64()), ("spans", span), ("removed", span), ("clusters", pa.list_(pa.int64()))]))
+        yield pa.RecordBatch.from_pylist(rows, pa.schema([("doc_id", pa.int64()), ("n_repeated", pa.int64()), ("n_removed", pa.int64()), ("spans", span), ("removed", span), ("clusters", pa.list_(pa.int64()))]))
 
 
 def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """A row for each document with repeated passages: doc_id, n_repeated and n_removed words, spans, removed, clusters."""
     ship(docs.sparkSession)
-    rows = docs.select(F.xxhash64(F.col(f"`{doc_id}`"), F.col(f"`{text}`")).alias("row"), F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    found = saved(rows.select("row", "text").mapInArrow(_anchor_rows, "key long, row long, pos int"))
-    shared = found.groupBy("key").agg(F.min("row").alias("lo"), F.max("row").alias("hi")).where("lo <> hi").select("key")
-    hits = found.join(shared, "key").groupBy("row").agg(F.collect_set(F.struct("pos", "key")).alias("hits"))
-    texts = saved(rows.dropDuplicates(["row"]).join(hits, "row").select("row", "doc_id", "text", "hits"))
-    units = saved(texts.mapInArrow(_unit_rows, "name long, key long, row long, doc_id long, pos int, left int, right int"))
+    body = F.col(f"`{text}`")
+    rows = docs.where(body.isNotNull()).select(F.xxhash64(body).alias("content"), F.col(f"`{doc_id}`").cast("long").alias("doc_id"), body.alias("text"))
     order = F.coalesce("doc_id", F.lit(-(1 << 63)))  # a null is before all ids
-    classes = saved(units.groupBy("key", "name").agg(F.min(F.struct(order.alias("doc"), "row")).alias("f"), F.min("row").alias("lo"), F.max("row").alias("hi"), F.min(F.struct("row", "pos")).alias("at"), F.first("left").alias("left"), F.first("right").alias("right")))
-    many = classes.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
-    dealt = classes.join(many, "key").select("at.row", "at.pos", "name", F.col("f.doc").alias("doc"), F.col("f.row").alias("first"), "lo", "hi", F.explode(tiles(F.col("key"), F.col("name"), F.col("members"), TILE)).alias("to"))
-    wants = dealt.groupBy("row").agg(F.collect_list(F.struct("pos", "name", "to.gid", "to.tile", "to.cross", "doc", "first", "lo", "hi")).alias("wants"))
-    sets = texts.join(wants, "row").select("text", "wants").mapInArrow(_set_rows, "name long, gid long, tile long, cross boolean, doc long, first long, lo long, hi long, sets binary")
+    members = rows.select("content", "doc_id").distinct()
+    contents = members.groupBy("content").agg(F.min(order).alias("doc"), F.count("*").alias("docs"))
+    texts = saved(rows.dropDuplicates(["content"]).select("content", "text"))
+    found = saved(texts.mapInArrow(_anchor_rows, "key long, content long, pos int"))
+    shared = found.groupBy("key").agg(F.min("content").alias("lo"), F.max("content").alias("hi")).where("lo <> hi").select("key")
+    hits = found.join(shared, "key").groupBy("content").agg(F.collect_set("pos").alias("hits"))
+    near = saved(texts.join(hits, "content").join(contents, "content").select("content", "doc", "text", "hits"))
+    dropped(found)
+    runs = saved(near.mapInArrow(_run_rows, "band int, key long, name long, content long, doc long, pos int, many int"))
+    classes = saved(
+        runs.groupBy("key", "name").agg(F.min(F.struct("doc", "content")).alias("f"), F.min("content").alias("lo"), F.max("content").alias("hi"), F.min(F.struct("content", "pos")).alias("at"), F.first("many").alias("many"), F.first("band").alias("band"))
+    )
+    buckets = classes.groupBy("key").agg(F.count("*").alias("members"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("members > 1 AND lo <> hi").select("key", "members")
+    dealt = classes.join(buckets, "key").select("at.content", "at.pos", "many", "name", (F.col("band") == 0).alias("exact"), "f", "lo", "hi", F.explode(tiles(F.col("key"), F.col("name"), F.col("members"), TILE)).alias("to"))
+    wants = dealt.groupBy("content").agg(F.collect_list(F.struct("pos", "many", "name", "to.gid", "exact", F.col("f.doc").alias("doc"), F.col("f.content").alias("first"), "lo", "hi")).alias("wants"))
+    sets = near.join(wants, "content").select("text", "wants").mapInArrow(_set_rows, "name long, gid long, exact boolean, doc long, first long, lo long, hi long, sets binary")
     verified = saved(grouped(sets, "gid", _verify, "name long, start int, end int, doc long, first long, lo long, hi long, to long", whole=True))
     clusters = components(verified.where("to IS NOT NULL").select(F.col("name").alias("a"), F.col("to").alias("b"))).withColumnRenamed("node", "name")
-    equal = classes.where("lo <> hi").select("name", F.col("left").alias("start"), F.col("right").alias("end"), F.col("f.doc").alias("doc"), F.col("f.row").alias("first"), "lo", "hi")
+    # equal runs; every band has them, so the first one's will do
+    equal = classes.where("lo <> hi AND band = 0").select("name", F.lit(0).alias("start"), (F.col("many") + PASSAGE - 1).alias("end"), F.col("f.doc").alias("doc"), F.col("f.content").alias("first"), "lo", "hi")
     parts = equal.unionByName(verified.where("to IS NULL").drop("to")).join(clusters, "name", "left").withColumn("cluster", F.coalesce("component", "name")).drop("component")
     # read back, so that the join's sides are both dealt out anew and adaptive execution can split a hot class
-    placed = units.select("name", "row", "doc_id", "pos").join(saved(parts), "name").where((F.col("lo") != F.col("row")) | (F.col("hi") != F.col("row")))
-    earlier = F.struct("doc", "first") < F.struct(order, "row")
-    marked = placed.select("doc_id", "row", F.struct((F.col("pos") + F.col("start")).alias("start"), (F.col("pos") + F.col("end")).alias("end"), "cluster", earlier.alias("removed")).alias("p"))
-    lists = marked.groupBy("row", "doc_id").agg(F.collect_list("p").alias("found"))
+    placed = runs.select("name", "content", F.col("doc").alias("own"), "pos").join(saved(parts), "name").where((F.col("lo") != F.col("content")) | (F.col("hi") != F.col("content")))
+    earlier = F.struct("doc", "first") < F.struct("own", "content")
+    marked = placed.select("content", F.struct((F.col("pos") + F.col("start")).alias("start"), (F.col("pos") + F.col("end")).alias("end"), "cluster", earlier.alias("removed")).alias("p"))
+    lists = marked.groupBy("content").agg(F.collect_set("p").alias("found"))
+    # texts that several documents have are repeated from end to end
+    size = F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"))
+    copies = texts.join(contents.where("docs > 1"), "content").select("content", F.col("doc").alias("least"), size.alias("whole")).where(F.col("whole") >= PASSAGE)
+    every = saved(lists.join(copies, "content", "full").select("content", "found", "least", "whole"))
+    out = members.join(every, "content").select("doc_id", "content", "found", "whole", (order > F.col("least")).alias("later"))
     span = "array<struct<start:int,end:int>>"
-    return lists.mapInArrow(_spans, f"doc_id long, n_repeated long, n_removed long, spans {span}, removed {span}, clusters array<long>")
+    return out.mapInArrow(_spans, f"doc_id long, n_repeated long, n_removed long, spans {span}, removed {span}, clusters array<long>")
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
