@@ -13,18 +13,18 @@ as sets of five-word shingles.  Texts that are equal are handled once, as one co
    0.998 at 0.8, 0.9997 at 0.85, 0.99997 at 0.9, 0.43 at 0.3, 0.06 at 0.1.
 3. *Verification in each bucket.*  Runs of equal words are one class, and of each distinct
    set of shingles one paragraph is looked at.  At 0.8 a paragraph lacks five shingles at most: those around one
-   word that was changed, put in or left out, where two blocks were exchanged, or at its ends.  So
-   two paragraphs are alike if they agree once such a block is dropped from each; the
-   sums of hashes that remain are sorted, and equal sums are shared sets of 41 shingles or more.  That is exact
-   and linear in the bucket, however many near copies it holds.  A bucket beyond ``TILE``
+   word that was changed, put in or left out, or at its ends.  So two paragraphs are alike if
+   they agree once such a block is dropped from each; the sums of hashes that remain are
+   sorted, and equal sums are shared sets of 41 shingles or more.  That is exact and linear in the
+   bucket, however many near copies it holds.  A bucket beyond ``TILE``
    classes is dealt out in pairs of tiles.
 4. *Removal.*  A verified paragraph covers the words from its first shared shingle to its last, so the union
    covers a repeated passage from end to end, and no word beside it.  Components of the
    links are the clusters; a covered word is removed if an earlier document (by id) has the
    paragraph.
 
-In texts that loop, a paragraph has fewer distinct shingles, D; there a block of up to an eighth of what stays may be
-dropped from each side.
+Not sought: paragraphs that are alike only with two blocks exchanged.  In texts that loop, a paragraph has fewer distinct
+shingles; there a block of up to an eighth of what stays may be dropped from each side.
 
 Edge cases: texts of less than ``PASSAGE`` words, null and empty ones have no paragraph;
 rows with equal id and text are one document, with equal id and other text several; a
@@ -56,7 +56,7 @@ TILE = 2048
 WIDE = PASSAGE - SHINGLE + 1
 LOST = 5
 #: Distinct paragraphs whose keys are sorted at once (a bucket's are never parted).
-CHUNK = 1 << 14
+CHUNK = 1 << 10
 
 U = np.uint64
 _ODD = np.random.default_rng(20240301).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * U(2) + U(1)
@@ -209,6 +209,8 @@ class Windows:
         _, pick, self.of = np.unique(name, return_index=True, return_inverse=True)
         self.n, self.v, self.before, self.start = len(pick), v, before, start[pick]
         self.total, self.distinct, self.gid = total[pick], distinct[pick], gid[self.unit[pick]].astype(U)
+        self.ends = np.zeros(self.n, bool)  # last of a run
+        self.ends[self.of[self.at + WIDE == size[self.unit]]] = True
         self.rank = np.full(self.n, len(rank))
         self.lo, self.hi = np.full(self.n, np.iinfo(np.int64).max), np.full(self.n, np.iinfo(np.int64).min)
         np.minimum.at(self.rank, self.of, rank[self.unit])
@@ -216,22 +218,28 @@ class Windows:
         np.maximum.at(self.hi, self.of, hi[self.unit])
 
     def plain(self, own: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
-        """Of paragraphs ``own`` without a loop: number, what remains without a block, shingles missing at the start and end."""
+        """Of paragraphs ``own`` without a loop: number, what remains without a block, shingles missing at the start and end.
+
+        What the next paragraph of the run has as well is left to it.
+        """
         x = self.v[self.start[own][:, None] + np.arange(WIDE)]
         run = np.zeros((len(own), WIDE + LOST), U)
         np.cumsum(np.concatenate([x, x[:, : LOST - 1]], axis=1), axis=1, out=run[:, 1:])
         total = self.total[own][:, None]
-        c = np.arange(WIDE)  # blocks of five, round the end
+        end = self.ends[own]
+        five = total - (run[:, LOST:] - run[:, :WIDE])  # without the five from c on, round the end
+        c = np.arange(WIDE)
         front = np.maximum(c + LOST - WIDE, 0)
         left, right = np.where(c == 0, LOST, front), np.where(c + LOST >= WIDE, LOST - front, 0)
-        yield from self._spread(own, total - (run[:, LOST : WIDE + LOST] - run[:, :WIDE]), left, right)
-        four = run[:, LOST:WIDE] - run[:, 1 : WIDE - LOST + 1]  # blocks of four inside, alone and with either end
+        every = (c > 0) & (c + LOST <= WIDE)
+        yield from self._spread(own, five[:, every], left[every], right[every])
+        yield from self._spread(own[end], five[end][:, ~every], left[~every], right[~every])
+        four = total - (run[:, LOST:WIDE] - run[:, 1 : WIDE - LOST + 1])  # without a block of four inside and an end
         none = np.zeros(four.shape[1], np.int64)
         first, last = none + 1, none + 1
         first[0] = last[-1] = LOST  # the block lies beside the end
-        yield from self._spread(own, total - four, none, none)
-        yield from self._spread(own, total - four - x[:, :1], first, none)
-        yield from self._spread(own, total - four - x[:, -1:], none, last)
+        yield from self._spread(own, four - x[:, -1:], none, last)
+        yield from self._spread(own[end], four[end] - x[end, :1], first, none)
 
     @staticmethod
     def _spread(own: np.ndarray, rest: np.ndarray, left: np.ndarray, right: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
@@ -243,21 +251,25 @@ class Windows:
         for size in np.unique(self.distinct[own]).tolist():
             part = own[self.distinct[own] == size]
             at = self.start[part][:, None] + np.arange(WIDE)
-            new = self.before[at] < self.start[part][:, None]
-            place = np.nonzero(new)[1].reshape(len(part), size)  # first places of the distinct shingles
-            x = np.take_along_axis(self.v[at], place, 1)
-            last = np.full((len(part), size), 0)
             value = self.v[at]
-            for k in range(size):
-                last[:, k] = WIDE - 1 - (value[:, ::-1] == x[:, k : k + 1]).argmax(1)
-            ring = np.concatenate([x, x], axis=1)
+            place = np.nonzero(self.before[at] < self.start[part][:, None])[1].reshape(len(part), size)  # first places of the distinct shingles
+            x = np.take_along_axis(value, place, 1)
+            last = np.stack([WIDE - 1 - (value[:, ::-1] == x[:, k : k + 1]).argmax(1) for k in range(size)], axis=1)
+            low = np.full((len(part), 1), -1)
+            upto = np.concatenate([low, np.maximum.accumulate(last, axis=1)], axis=1)
+            since = np.concatenate([np.maximum.accumulate(last[:, ::-1], axis=1)[:, ::-1], low], axis=1)
             run = np.zeros((len(part), 2 * size + 1), U)
-            np.cumsum(ring, axis=1, out=run[:, 1:])
+            np.cumsum(np.concatenate([x, x], axis=1), axis=1, out=run[:, 1:])
+            total = self.total[part][:, None]
             for drop in range(size // 9 + 1):
-                for c in range(size if drop else 1):
-                    gone = np.arange(c, c + drop) % size
-                    stay = np.setdiff1d(np.arange(size), gone)
-                    yield part, self.total[part] - (run[:, c + drop] - run[:, c]), place[:, stay].min(1), WIDE - 1 - last[:, stay].max(1)
+                c = np.arange(size if drop else 1)
+                rest = total - (run[:, drop : drop + len(c)] - run[:, : len(c)])
+                wrap = c + drop > size
+                left = place[:, np.where(c == 0, drop, np.where(wrap, c + drop - size, 0))]
+                end = np.maximum(upto[:, c], since[:, np.minimum(c + drop, size)])
+                for k in np.flatnonzero(wrap).tolist():
+                    end[:, k] = last[:, k + drop - size : k].max(1)
+                yield np.repeat(part, len(c)), rest.reshape(-1), left.reshape(-1), (WIDE - 1 - end).reshape(-1)
 
     def alike(self) -> Iterator[tuple[np.ndarray, ...]]:
         """Paragraphs with a partner of another content in their bucket: number, shingles missing at the start
@@ -266,6 +278,9 @@ class Windows:
         order = np.argsort(self.gid, kind="stable")
         gid = self.gid[order]
         ends = np.flatnonzero(np.append(gid[1:] != gid[:-1], True)) + 1
+        # a number for each content; paragraphs of several have one of their own
+        some = np.where(self.lo == self.hi, self.lo, np.arange(self.n)).astype(U) ^ np.where(self.lo == self.hi, U(0), U(kernel.MULT))
+        some = (kernel.mix(some) >> U(40)).astype(np.float64)
         a = 0
         while a < self.n:  # whole buckets
             b = int(ends[min(len(ends) - 1, np.searchsorted(ends, a + CHUNK))])
@@ -275,14 +290,23 @@ class Windows:
             parts = [*(self.plain(plain) if len(plain) else ()), *(self.looped(looped) if len(looped) else ())]
             which, rest, left, right = (np.concatenate(x) for x in zip(*parts, strict=True))
             key = kernel.mix(rest ^ kernel.mix(self.gid[which]))
-            bits = max(16, int(len(key)).bit_length() + 1)
-            slot = (key >> U(64 - bits)).astype(np.int64)
-            twice = np.flatnonzero(np.bincount(slot, minlength=1 << bits)[slot] > 1)
-            twice = twice[np.argsort(key[twice], kind="stable")]
+            # slots where all entries are of one content hold no partners
+            bits = max(12, int(len(key)).bit_length() + 1)
+            slot, of = (key >> U(64 - bits)).astype(np.int64), some[which]
+            mean = np.bincount(slot, of, 1 << bits)
+            twice = np.flatnonzero(mean[slot] != of)
+            twice = twice[(np.bincount(slot, minlength=1 << bits)[slot[twice]] * of[twice]) != mean[slot[twice]]]
+            twice = twice[np.argsort(key[twice])]
             k = key[twice]
             if not len(k):
                 continue
             new = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+            more = np.diff(np.append(new, len(k))) > 1
+            pick = np.repeat(more, np.diff(np.append(new, len(k))))
+            twice, k = twice[pick], k[pick]
+            if not len(k):
+                continue
+            new = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
             segment = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(k))))
             w = which[twice]
             lo, hi = np.minimum.reduceat(self.lo[w], new), np.maximum.reduceat(self.hi[w], new)
