@@ -307,24 +307,6 @@ def test_mixing(spark, docs, empty):
     assert mixing.mix(empty).count() == 0
 
 
-def test_sharding(spark, docs, empty, tmp_path):
-    store = sharding.ShardStore(spark, str(tmp_path / "s"), target_bytes=200_000)
-    assert store.version() == 0
-    store.append(docs.repartition(6), 3)
-    small = store.manifest().count()
-    v = store.compact()
-    m = store.manifest(v).collect()
-    assert len(m) < small and sum(r["rows"] for r in m) == docs.count()
-    assert store.read(v).select(docs.columns).exceptAll(docs).count() == 0 and docs.exceptAll(store.read(v).select(docs.columns)).count() == 0
-    with pytest.raises(Exception, match="exist"):
-        store.version = lambda: v - 1
-        store.commit(store.manifest(v))
-    out = sharding.shard(docs).collect()
-    assert Counter(r["doc_id"] for r in out) == Counter(r["doc_id"] for r in docs.collect())
-    assert all(n == c for c, n in ((c, next(r["shard_rows"] for r in out if r["shard"] == s)) for s, c in Counter(r["shard"] for r in out).items()))
-    assert sharding.shard(empty).count() == 0
-
-
 def test_language(spark, docs, empty):
     rng = random.Random(8)
     kinds = {"xx": "ka ko ku zik zak".split(), "yy": "el la men tre ion".split()}
