@@ -27,6 +27,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_decontaminate": decontaminate.ORACLE_SQL,
+        "op3_lm_score": lm.ORACLE_SQL,
         "op4_sharding": sharding.ORACLE_SQL,
         "op5_mix": mixing.ORACLE_SQL,
         "op6_ngram_join": ngram_join.ORACLE_SQL,
