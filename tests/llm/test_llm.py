@@ -209,22 +209,30 @@ def test_embeddings(spark, monkeypatch):
         v = base[i % 40] + rng.standard_normal(64) * rng.choice([0.05, 0.14, 0.4])
         rows.append((i, [float(x) for x in v], int(i % 40 % 3)))
     odd = [(500, None, 1), (501, [0.0] * 64, 1), (502, [float("nan")] * 64, 1), (503, rows[0][1], None), (504, [None] + [1.0] * 63, 0), (505, rows[0][1], 0), (506, [2 * x for x in rows[0][1]], 0), (507, [1.0, 2.0], 0), (None, rows[0][1], 0)]
-    df = spark.createDataFrame(rows + odd + rows[:3], "vec_id long, embedding array<double>, label int").withColumn("x", F.lit(1)).withColumn("keys", F.lit(2))
-    keep = rows + [odd[5], odd[6]]
-    x = np.array([v for _, v, _ in keep])
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    lab = np.array([c for *_, c in keep])
-    ok = (x @ x.T >= 0.98) & (lab[:, None] == lab)
+    used = (7, [float(x) for x in base[3]], int(rows[3][2]))  # an id that another vector has
+    odd += [(520 + i, rows[i][1][: 3 + i], 1) for i in range(20)] + [(540, rows[0][1][:3], 1), (541, [1e300] * 64, 1), (542, [1e-300] * 64, 1)]  # lengths of their own; extreme sizes
+    every = rows + odd + [used, *rows[:3]]
+    df = spark.createDataFrame(every, "vec_id long, embedding array<double>, label int").withColumn("x", F.lit(1)).withColumn("keys", F.lit(2))
+
+    def fine(i, v, c):
+        return i is not None and v is not None and c is not None and None not in v and np.isfinite(v).all() and any(v)
+
+    keep = [r for r in every if fine(*r)]
+    x = [np.array(v) / np.abs(v).max() for _, v, _ in keep]
+    x = [v / np.linalg.norm(v) for v in x]
+    ok = np.array([[len(a) == len(b) and ka[2] == kb[2] and a @ b >= 0.98 for b, kb in zip(x, keep, strict=True)] for a, ka in zip(x, keep, strict=True)])
     np.fill_diagonal(ok, False)
     comp = components.roots(ok)
-    want = {k[0]: (int(n), keep[c][0]) for k, n, c in zip(keep, ok.sum(1), comp, strict=True)}
-    for tile in (2048, 3):
-        monkeypatch.setattr(components, "TILE", tile)
-        monkeypatch.setattr(embedding_dedup, "tiles", lambda *a, t=tile: components.tiles(*a, t))
-        got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.near_duplicates(df).collect()}
-        assert len(got) == 409
-        assert all(got[k] == want.get(k, (0, k)) for k in got)
-    assert sum(n for n, _ in want.values()) > 500
+    least = {}
+    for k, c in zip(keep, comp, strict=True):
+        least[c] = min(least.get(c, k[0]), k[0])
+    want = Counter((k[0], int(n), least[c], k[0] == least[c]) for k, n, c in zip(keep, ok.sum(1), comp, strict=True)) + Counter((r[0], 0, r[0], True) for r in every if not fine(*r))
+    for tile, lengths in ((2048, 16), (3, 2)):
+        monkeypatch.setattr(embedding_dedup, "TILE", tile)
+        monkeypatch.setattr(embedding_dedup, "LENGTHS", lengths)
+        got = Counter((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in embedding_dedup.near_duplicates(df).collect())
+        assert got == want
+    assert sum(n for _, n, _, _ in want) > 500
     assert embedding_dedup.near_duplicates(df.where("false")).count() == 0
 
 
