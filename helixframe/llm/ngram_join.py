@@ -1,19 +1,22 @@
 """N-gram Jaccard self-join: MinHash banding, then exact verification on the full shingle sets.
 
 Texts whose five-word shingle sets are equal form one class, represented once.  Each
-class gets ``BANDS`` band hashes of ``ROWS`` minima; shuffling on band hashes links every
-member of a bucket to the bucket's smallest, and the components of those links are the
-candidate groups.  The full shingle sets travel to their group once, where the pairs
-that share a band hash are verified exactly.  A group beyond ``TILE`` members is dealt out in
-pairs of tiles.  Tasks report link counts and a spanning forest, not pairs, so a group of
-any number of copies stays linear in what it emits, and no link is lost.
+class gets ``BANDS`` band hashes of ``ROWS`` minima; a shuffle on band hashes brings the members of
+a bucket together.  There pairs are kept whose signatures (a byte of each minimum) agree
+in ``LEAST`` places or more, each in the first band where the two meet.  The full shingle sets travel only
+to the buckets where a member has such a partner, and the pairs are verified exactly: texts
+that merely share boilerplate meet in many buckets, but don't send their sets there.  A bucket beyond
+``TILE`` members, or ``TILE_SHINGLES`` shingles, is dealt out in pairs of tiles.  Tasks report link counts and a
+spanning forest, not pairs, so a group of any number of copies stays linear in what
+it emits, and no link is lost.
 
-Recall at similarity s is 1 - (1 - s**ROWS)**BANDS: 0.999997 at 0.8.
+Recall at similarity s is that of the bands, 1 - (1 - s**ROWS)**BANDS, 0.999997 at 0.8, times that of the signatures,
+0.9999 at 0.8 (binomial, 96 places).
 
 Edge cases: a text of one to four words has one shingle, all its words; a null or
 wordless text has no shingle and links with nothing; repeated rows (equal ids too) are
 rows of their own and link with each other; an empty table gives no rows; other columns
-are ignored.
+are ignored; ids are long integers.  A very long text is one task's, with some 100 bytes of memory a word.
 """
 
 from __future__ import annotations
@@ -33,15 +36,18 @@ from .components import components, grouped, roots, tiles
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 24, 4
-#: Members of a candidate group that one task compares: 2 x TILE sets are in memory.
+#: Equal bytes of two signatures, of BANDS * ROWS, that make a pair worth verifying.
+LEAST = 62
+#: Members of a bucket that one task compares, and shingles of the sets it verifies; of each two tiles are in memory.
 TILE = 1500
+TILE_SHINGLES = 4 << 20
 
 U = np.uint64
 _A = np.random.default_rng(20240229).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * U(2) + U(1)
 
 
-def band_keys(sets: np.ndarray, cut: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
-    """Band hashes ``[row, band]`` of the non-empty sets ``sets[cut[i]:cut[i + 1]]``."""
+def band_keys(sets: np.ndarray, cut: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> tuple[np.ndarray, np.ndarray]:
+    """Band hashes ``[row, band]`` and signatures of the non-empty sets ``sets[cut[i]:cut[i + 1]]``."""
     n = len(cut) - 1
     sig = np.empty((n, bands * rows), dtype=U)
     for a in range(0, n, 128):
@@ -52,7 +58,7 @@ def band_keys(sets: np.ndarray, cut: np.ndarray, bands: int = BANDS, rows: int =
     key = np.zeros((n, bands), dtype=U)
     for r in range(rows):
         key = kernel.mix(key * U(kernel.MULT) + sig[:, r::rows])
-    return key
+    return key, (kernel.mix(sig) >> U(56)).astype(np.uint8)
 
 
 def unique_sets(h: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -73,12 +79,59 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sets, cut = unique_sets(*kernel.shingles(h, offs, SHINGLE))
             size = np.diff(cut)
             full = np.flatnonzero(size)
-            cid, keys = np.zeros(b - a, np.int64), np.zeros((b - a, BANDS), dtype=np.int64)
+            cid, keys, sig = np.zeros(b - a, np.int64), np.zeros((b - a, BANDS), dtype=np.int64), np.zeros((b - a, BANDS * ROWS), np.uint8)
             if len(full):
                 own = np.append(cut[full], cut[-1])
-                cid[full], keys[full] = _sums(sets, own), band_keys(sets, own).view(np.int64)
+                cid[full] = _sums(sets, own)
+                k, sig[full] = band_keys(sets, own)
+                keys[full] = k.view(np.int64)
             lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(np.where(size > 0, BANDS, 0))]).astype(np.int32), pa.array(keys[full].reshape(-1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(size, pa.int64()), pa.array(cid, mask=size == 0), lists], names=["doc_id", "th", "size", "cid", "keys"])
+            signs = np.concatenate([sig, (keys >> 32).astype(np.int32).view(np.uint8).reshape(b - a, -1)], axis=1)
+            signs = pa.Array.from_buffers(pa.binary(SIGN), b - a, [None, pa.py_buffer(np.ascontiguousarray(signs))]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(size, pa.int64()), pa.array(cid, mask=size == 0), lists, signs], names=["doc_id", "th", "size", "cid", "keys", "sig"])
+
+
+#: Bytes of a member's signature and of the digests of its band hashes.
+SIGN = BANDS * ROWS + 4 * BANDS
+
+
+def _signs(g: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures, and digests of the band hashes."""
+    x = np.frombuffer(b"".join(g.column("sig").to_pylist()), np.uint8).reshape(g.num_rows, SIGN)
+    return x[:, : BANDS * ROWS], np.ascontiguousarray(x[:, BANDS * ROWS :]).view(np.uint32)
+
+
+def _met(digest: np.ndarray, i: np.ndarray | int, j: np.ndarray, band: int) -> np.ndarray:
+    """Whether the members ``i`` and ``j`` meet in ``band``, and in none before."""
+    same = digest[i] == digest[j]
+    return same[:, band] & ~same[:, :band].any(1)
+
+
+def _candidates(threshold: float):
+    def candidates(g: pa.Table) -> pa.Table | None:
+        sig, digest = _signs(g)
+        n, band, cross, tile, size = g.num_rows, g.column("band")[0].as_py(), g.column("cross")[0].as_py(), g.column("tile").to_numpy(), g.column("size").to_numpy()
+        some = np.zeros(n, bool)
+        step = max(1, (8 << 20) // (n * sig.shape[1]))
+        for a in range(0, n, step):
+            i = np.arange(a, min(n, a + step))
+            ok = np.minimum(size[i, None], size) >= threshold * np.maximum(size[i, None], size) - 1e-9
+            ok &= np.arange(n) > i[:, None]
+            if cross:
+                ok &= tile[i, None] != tile
+            x, y = np.nonzero(ok)
+            x = x + a
+            for c in range(0, len(x), 1 << 16):
+                u, v = x[c : c + (1 << 16)], y[c : c + (1 << 16)]
+                good = (sig[u] == sig[v]).sum(1) >= LEAST
+                u, v = u[good], v[good]
+                good = _met(digest, u, v, band)
+                some[u[good]] = some[v[good]] = True
+        if not some.any():
+            return None
+        return g.filter(pa.array(some)).select(["gid", "tile", "cross", "band", "cid", "sig", "size"])
+
+    return candidates
 
 
 def _verify(threshold: float):
@@ -88,8 +141,10 @@ def _verify(threshold: float):
         if len(first) < 2:
             return None
         g = g.take(pa.array(np.sort(first)))
-        cid, weight, tile, cross = g.column("cid").to_numpy(), g.column("n").to_numpy(), g.column("tile").to_numpy(), g.column("cross")[0].as_py()
-        keys = np.stack([np.frombuffer(x, np.int64) for x in g.column("keys").to_pylist()])
+        cid, weight, tile, cross, band = g.column("cid").to_numpy(), g.column("n").to_numpy(), g.column("tile").to_numpy(), g.column("cross")[0].as_py(), g.column("band")[0].as_py()
+        # tiles of the candidates' step and of the verification's: a pair counts where both put it
+        near, beside = g.column("near").to_numpy(), g.column("beside")[0].as_py()
+        _, digest = _signs(g)
         sets = [np.frombuffer(x, U) for x in g.column("sets").to_pylist()]
         size = np.array([len(x) for x in sets])
         flat = np.concatenate(sets)
@@ -99,11 +154,14 @@ def _verify(threshold: float):
         n = len(cid)
         ok = np.zeros((n, n), bool)
         for i in range(n - 1):
-            # partners that share a band hash and could reach the threshold by size
-            j = np.flatnonzero((keys[i + 1 :] == keys[i]).any(1)) + i + 1
+            # partners that meet in this band first and could reach the threshold by size
+            j = np.arange(i + 1, n)
+            j = j[_met(digest, np.full(len(j), i), j, band)]
             j = j[(np.minimum(size[j], size[i]) >= threshold * np.maximum(size[j], size[i]) - 1e-9)]
             if cross:
                 j = j[tile[j] != tile[i]]
+            if beside:
+                j = j[near[j] != near[i]]
             if not len(j):
                 continue
             mark[code[cut[i] : cut[i + 1]]] = 1
@@ -131,34 +189,49 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     ship(docs.sparkSession)
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.xxhash64(F.col(f"`{text}`")).alias("th"), F.col(f"`{text}`").alias("text"))
-    sig = saved(rows.mapInArrow(_signatures, "doc_id long, th long, size long, cid long, keys array<long>"))
+    sig = saved(rows.mapInArrow(_signatures, "doc_id long, th long, size long, cid long, keys array<long>, sig binary"))
     classes = saved(
-        sig.where("cid IS NOT NULL").groupBy("cid").agg(F.min(F.struct("doc_id", "th")).alias("first"), F.count("*").alias("n"), F.first("keys").alias("keys"), F.first("size").alias("size"))
+        sig.where("cid IS NOT NULL").groupBy("cid").agg(F.min(F.struct("doc_id", "th")).alias("first"), F.count("*").alias("n"), F.first("keys").alias("keys"), F.first("size").alias("size"), F.first("sig").alias("sig"))
     )
-    banded = classes.select("cid", F.posexplode("keys").alias("band", "key"))
-    least = banded.groupBy("band", "key").agg(F.min("cid").alias("m"), F.max("cid").alias("top")).where("m <> top").drop("top")
-    groups = components(banded.join(least, ["band", "key"]).select(F.col("cid").alias("a"), F.col("m").alias("b")))
-    sizes = groups.groupBy("component").agg(F.count("*").alias("members"))
+    banded = classes.select("cid", F.posexplode("keys").alias("band", "key")).select("cid", "band", F.xxhash64("band", "key").alias("key"))
+    buckets = banded.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
+    dealt = banded.join(buckets, "key").select("cid", "band", F.explode(tiles(F.col("key"), F.col("cid"), F.col("members"), TILE)).alias("to"))
+    where = dealt.groupBy("cid").agg(F.collect_list(F.struct("band", "to.*")).alias("to"))
+    met = classes.join(where, "cid").select("cid", "sig", "size", F.explode("to").alias("to")).select("cid", "sig", "size", "to.*")
+    kind = "gid long, tile long, cross boolean, band int, cid long, sig binary, size long"
+    near = saved(grouped(met, "gid", _candidates(threshold), kind))
+    # sets that wouldn't fit together in one task are dealt out again
+    large = near.groupBy("gid").agg(F.sum("size").alias("all")).where(F.col("all") > TILE_SHINGLES)
+    alone = F.array(F.struct(F.col("gid"), F.lit(0).cast("long").alias("tile"), F.lit(False).alias("cross")))
+    to = F.when(F.col("all").isNull(), alone).otherwise(tiles(F.col("gid"), F.xxhash64(F.lit(1), "cid"), F.coalesce("all", F.lit(1)), TILE_SHINGLES))
     member = (
-        classes.join(groups.withColumnRenamed("node", "cid"), "cid").join(sizes, "component")
-        .select("cid", "n", "keys", F.col("first.doc_id").alias("doc_id"), F.col("first.th").alias("th"), F.explode(tiles(F.col("component"), F.col("cid"), F.col("members"), TILE)).alias("to"))
-        .select("cid", "n", "keys", "doc_id", "th", "to.*")
+        near.join(large, "gid", "left").withColumn("to", F.explode(to))
+        .select("cid", "sig", "band", "tile", "cross", F.col("to.gid").alias("gid"), F.col("to.tile").alias("near"), F.col("to.cross").alias("beside"))
+        .groupBy("cid").agg(F.first("sig").alias("sig"), F.collect_list(F.struct("gid", "tile", "cross", "near", "beside", "band")).alias("to"))
+        .join(classes.select("cid", "n", F.col("first.doc_id").alias("doc_id"), F.col("first.th").alias("th")), "cid")
     )
 
     def with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text"))
-            for a, b in kernel.slices(texts):
+            for a, b in kernel.slices(batch.column(4)):
                 part = batch.slice(a, b - a)
-                sets, cut = unique_sets(*kernel.shingles(*kernel.words(texts.slice(a, b - a), kernel.ALNUM), SHINGLE))
-                keys = part.column(2).to_pylist()
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), part.column(3), part.column(4), part.column(5), pa.array([np.array(k, dtype=np.int64).tobytes() for k in keys], pa.binary()), pa.array([sets[s:e].tobytes() for s, e in zip(cut[:-1], cut[1:], strict=True)], pa.binary())],
-                    names=["cid", "n", "gid", "tile", "cross", "keys", "sets"],
-                )
-
-    texts = member.join(rows, (rows["doc_id"].eqNullSafe(member["doc_id"])) & (rows["th"] == member["th"])).select("cid", "n", "keys", "gid", "tile", "cross", rows["text"])
-    loaded = texts.mapInArrow(with_sets, "cid long, n long, gid long, tile long, cross boolean, keys binary, sets binary")
+                sets, cut = unique_sets(*kernel.shingles(*kernel.words(part.column(4), kernel.ALNUM), SHINGLE))
+                own = pa.array([sets[s:e].tobytes() for s, e in zip(cut[:-1], cut[1:], strict=True)], pa.binary())
+                lists = part.column(3)
+                of = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+                flat = lists.flatten()
+                size = np.diff(cut)[of]
+                edge = np.concatenate([[0], np.cumsum(size)])
+                c = 0
+                while c < len(of):  # copies of long sets go out a few megabytes at a time
+                    d = max(c + 1, int(np.searchsorted(edge, edge[c] + (1 << 20), side="right")) - 1)
+                    at = pa.array(of[c:d])
+                    few = flat.slice(c, d - c)
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), part.column(2).take(at), *[few.field(k) for k in range(6)], own.take(at)], names=["cid", "n", "sig", "gid", "tile", "cross", "near", "beside", "band", "sets"])
+                    c = d
+
+    texts = member.join(rows, (rows["doc_id"].eqNullSafe(member["doc_id"])) & (rows["th"] == member["th"])).dropDuplicates(["cid"]).select("cid", "n", "sig", "to", rows["text"])
+    loaded = texts.mapInArrow(with_sets, "cid long, n long, sig binary, gid long, tile long, cross boolean, near long, beside boolean, band int, sets binary")
     found = saved(grouped(loaded, "gid", _verify(threshold), "cid long, links long, root long"))
     count = found.groupBy("cid").agg(F.sum("links").alias("links"))
     comp = components(found.select(F.col("cid").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "cid")

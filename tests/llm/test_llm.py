@@ -181,6 +181,8 @@ def brute_near(rows):
 @pytest.mark.parametrize("tile", [2, 1500])
 def test_ngram_join(docs, tile, monkeypatch):
     monkeypatch.setattr(ngram_join, "TILE", tile)
+    if tile == 2:
+        monkeypatch.setattr(ngram_join, "TILE_SHINGLES", 300)
     rows = [(r["doc_id"], r["text"]) for r in docs.where("doc_id IS NOT NULL").collect()]
     links, comp = brute_near(rows)
     low = {}
