@@ -6,22 +6,26 @@ positions where it stands.  Segments hold whole documents, so the index is writt
 once, without a shuffle, and every query is answered segment by segment.
 ``search`` looks up a phrase from its rarest term: the posting list of that term,
 shifted by the term's offset, gives the possible starts, and the lists of the other
-terms, rarest first, are intersected with them.  Phrases are sent to the executors
-in blocks of at most ``QUERY_BYTES`` of benchmark text.
+terms, rarest first, are intersected with them.  Phrases are arrays of at most ``QUERY_BYTES`` of
+benchmark text (one item at least); a larger benchmark is searched block after block, each
+broadcast given back before the next, and the documents' answers are merged.  So neither the driver
+nor an executor holds more than a block, some 100 bytes for each of its words.
 
 Terms are 64-bit hashes of lower-cased words (a phrase is found by ten agreeing
 hashes).  Edge cases: a null or wordless text has no words and no hits; a null or
 wordless benchmark text has no window; repeated rows are judged each; an empty
 benchmark leaves every document clean; columns besides id and text are ignored,
-whatever their names.
+whatever their names.  A very long text is a segment of its own, with some 60 bytes of memory a word.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,13 +36,13 @@ from .pack import dump, load
 
 WINDOW = 10
 #: Benchmark text that one broadcast block of phrases holds at most.
-QUERY_BYTES = 16 << 20
+QUERY_BYTES = 2 << 20
 #: Free positions between the documents of a segment; a proximity search reaches less far.
 GAP = 64
 #: Candidate starts that are checked at a time.
 CHUNK = 1 << 20
 
-_SEGMENT = "ids array<{kind}>, first binary, n_words binary, terms binary, counts binary, postings binary"
+_SEGMENT = "segment string, ids array<{kind}>, first binary, n_words binary, terms binary, counts binary, postings binary"
 
 
 def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -58,7 +62,7 @@ def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
                 new = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
                 counts = np.diff(np.append(new, len(h)))
                 yield pa.record_batch({
-                    "ids": pa.array([batch.column(0).slice(a, b - a).to_pylist()], pa.list_(batch.schema.field(0).type)),
+                    "segment": [uuid.uuid4().hex], "ids": pa.array([batch.column(0).slice(a, b - a).to_pylist()], pa.list_(batch.schema.field(0).type)),
                     "first": [dump(first.astype(np.int32))], "n_words": [dump(n.astype(np.int32))],
                     "terms": [dump(h[new], rising=True)], "counts": [dump(counts.astype(np.int32))], "postings": [dump(pos.astype(np.int32), rising=True)],
                 })
@@ -69,18 +73,23 @@ def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 class Phrases:
     """Distinct windows by length, and the items that hold each."""
 
-    def __init__(self, ids: list[str], texts: list[str | None], window: int):
-        h, offs = kernel.words(pa.array(texts, pa.string()), kernel.ALNUM)
-        by: dict[tuple[int, ...], set[int]] = {}
-        for i in range(len(ids)):
-            w = tuple(h[offs[i] : offs[i + 1]].tolist())
-            for k in range(max(1, len(w) - window + 1) if w else 0):
-                by.setdefault(w[k : k + window], set()).add(i)
+    def __init__(self, ids: list[str], texts: pa.Array, window: int):
+        h, offs = kernel.words(texts, kernel.ALNUM)
+        size = np.diff(offs)
         self.ids, self.groups = ids, []
-        for size in sorted({len(w) for w in by}):
-            own = sorted(w for w in by if len(w) == size)
-            lists = [sorted(by[w]) for w in own]
-            self.groups.append((np.array(own, dtype=np.uint64).reshape(len(own), size), np.concatenate(lists), np.concatenate([[0], np.cumsum([len(x) for x in lists])])))
+        for n in np.unique(np.minimum(size[size > 0], window)).tolist():
+            own = np.flatnonzero(size >= n if n == window else size == n)
+            item, start = kernel.runs(offs[own], size[own] - n + 1)
+            item = own[item]
+            name = kernel.grams(h, n)[start]
+            order = np.lexsort((item, name))
+            name, item, start = name[order], item[order], start[order]
+            new = np.ones(len(name), bool)
+            new[1:] = name[1:] != name[:-1]
+            once = new.copy()
+            once[1:] |= item[1:] != item[:-1]
+            words = h[start[new][:, None] + np.arange(n)]
+            self.groups.append((words, item[once], np.append(np.flatnonzero(new[once]), once.sum())))
 
 
 class Segment:
@@ -147,11 +156,28 @@ def search(index: DataFrame, items: DataFrame, item_id: str = "item_id", text: s
     items = items.select(F.col(f"`{item_id}`").cast("string").alias("id"), F.col(f"`{text}`").alias("text"))
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-size // QUERY_BYTES) or 1
-    held = []
+    docs = None
     for k in range(blocks):
-        own = items if blocks == 1 else items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == k)
-        got = own.toArrow()
-        held.append(spark.sparkContext.broadcast(Phrases(got.column("id").to_pylist(), got.column("text").to_pylist(), window)))
+        got = (items if blocks == 1 else items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == k)).toArrow()
+        held = spark.sparkContext.broadcast(Phrases(got.column("id").to_pylist(), got.column("text").combine_chunks(), window))
+        found = _searched(index, held, slop)
+        if blocks == 1:
+            return found.select("id", "n_words", "items", "spans", "near_items")
+        part = saved(found.where(F.lit(k == 0) | (F.size("spans") > 0) | (F.size("near_items") > 0)))  # the first has every document
+        held.destroy()
+        docs = part if docs is None else docs.unionByName(part)
+    flat = lambda c: F.flatten(F.collect_list(c)).alias(c)
+    both = docs.groupBy("segment", "k").agg(F.first("id").alias("id"), F.first("n_words").alias("n_words"), flat("items"), F.sort_array(F.flatten(F.collect_list("spans"))).alias("spans"), flat("near_items"))
+    # spans in order: one that begins within the last one's reach belongs to it
+    last = lambda a: F.element_at(a, -1)
+    grown = lambda a, s: F.concat(F.slice(a, F.lit(1), F.size(a) - 1), F.array(F.struct(last(a)["start"].alias("start"), F.greatest(last(a)["end"], s["end"]).alias("end"))))
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    merged = F.reduce("spans", none, lambda a, s: F.when((F.size(a) > 0) & (F.try_element_at(a, F.lit(-1))["end"] >= s["start"]), grown(a, s)).otherwise(F.concat(a, F.array(s))))
+    return both.select("id", "n_words", F.array_sort(F.array_distinct("items")).alias("items"), merged.alias("spans"), F.array_sort(F.array_distinct("near_items")).alias("near_items"))
+
+
+def _searched(index: DataFrame, held: Broadcast, slop: int) -> DataFrame:
+    """segment, k, id, n_words, items, spans, near_items of every indexed document, for one block of phrases."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,19 +186,18 @@ def search(index: DataFrame, items: DataFrame, item_id: str = "item_id", text: s
                 docs = len(seg.n)
                 edge = np.zeros(seg.size + 1, np.int32)
                 pairs, near = [set() for _ in range(docs)], [set() for _ in range(docs)]
-                for b in held:
-                    phrases = b.value
-                    for group, of, cut in phrases.groups:
-                        for kind, reach in ((pairs, -1), (near, group.shape[1] + slop))[: 1 + (slop >= 0)]:
-                            for which, start in seg.find(group, reach):
-                                if kind is pairs:
-                                    np.add.at(edge, start, 1)
-                                    np.add.at(edge, start + group.shape[1], -1)
-                                doc = np.searchsorted(seg.first, start, side="right") - 1
-                                both = np.unique(doc * len(group) + which)
-                                r, at = kernel.runs(cut[both % len(group)], np.diff(cut)[both % len(group)])
-                                for d, i in zip((both // len(group))[r].tolist(), of[at].tolist(), strict=True):
-                                    kind[d].add(phrases.ids[i])
+                phrases = held.value
+                for group, of, cut in phrases.groups:
+                    for kind, reach in ((pairs, -1), (near, group.shape[1] + slop))[: 1 + (slop >= 0)]:
+                        for which, start in seg.find(group, reach):
+                            if kind is pairs:
+                                np.add.at(edge, start, 1)
+                                np.add.at(edge, start + group.shape[1], -1)
+                            doc = np.searchsorted(seg.first, start, side="right") - 1
+                            both = np.unique(doc * len(group) + which)
+                            r, at = kernel.runs(cut[both % len(group)], np.diff(cut)[both % len(group)])
+                            for d, i in zip((both // len(group))[r].tolist(), of[at].tolist(), strict=True):
+                                kind[d].add(phrases.ids[i])
                 hit = np.cumsum(edge) > 0
                 turn = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
                 spans: list[list[dict]] = [[] for _ in range(docs)]
@@ -181,13 +206,13 @@ def search(index: DataFrame, items: DataFrame, item_id: str = "item_id", text: s
                     spans[d].append({"start": s - int(seg.first[d]), "end": e - int(seg.first[d])})
                 order = [sorted(x, key=lambda i: (i is not None, i)) for x in pairs]
                 yield pa.RecordBatch.from_arrays([
-                    batch.column("ids").slice(row, 1).flatten(), pa.array(seg.n, pa.int64()),
+                    pa.array([batch.column("segment")[row].as_py()] * docs, pa.string()), pa.array(range(docs), pa.int32()), batch.column("ids").slice(row, 1).flatten(), pa.array(seg.n, pa.int64()),
                     pa.array(order, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
                     pa.array([sorted(x, key=str) for x in near], pa.list_(pa.string())),
-                ], names=["id", "n_words", "items", "spans", "near_items"])
+                ], names=["segment", "k", "id", "n_words", "items", "spans", "near_items"])
 
     kind = index.schema["ids"].dataType.elementType.simpleString()
-    return index.mapInArrow(run, f"id {kind}, n_words long, items array<string>, spans array<struct<start:int,end:int>>, near_items array<string>")
+    return index.mapInArrow(run, f"segment string, k int, id {kind}, n_words long, items array<string>, spans array<struct<start:int,end:int>>, near_items array<string>")
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -94,7 +94,9 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_decontaminate(spark, docs, texts):
+@pytest.mark.parametrize("block", [1 << 21, 60_000])
+def test_decontaminate(spark, docs, texts, block, monkeypatch):
+    monkeypatch.setattr(decontaminate, "QUERY_BYTES", block)
     a = words(texts[3])
     items = [(1, " ".join(words(texts[20]))), (2, None), (3, "..."), (10, " ".join(a[:4])), (11, texts[7]), (12, "never seen words here")]
     bench = spark.createDataFrame(items, "item_id long, text string").withColumn("id", F.lit(0))
@@ -127,6 +129,28 @@ def test_decontaminate_proximity_and_empty(spark, docs, empty):
     assert len(none) == docs.count() and not any(r["items"] for r in none)
 
 
+def test_decontaminate_stage(spark, docs, empty, texts, tmp_path):
+    items = spark.createDataFrame([(1, " ".join(words(texts[20])[:12])), (2, None)], "item_id long, text string")
+    items.write.parquet(str(tmp_path / "benchmark.parquet"))
+    left = decontaminate.stage(spark, docs, str(tmp_path))
+    bad = " ".join(words(texts[20])[:12])
+    want = [r for r in docs.collect() if bad not in " ".join(words(r["text"]))]
+    assert left.columns == docs.columns and Counter(map(repr, left.collect())) == Counter(map(repr, want)) and len(want) < docs.count()
+    assert decontaminate.stage(spark, empty, str(tmp_path)).count() == 0
+
+
+def test_phrases_of_a_large_benchmark_are_small():
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    text = " ".join(f"w{x}" for x in rng.integers(0, 10**6, 250_000))
+    assert len(text) < decontaminate.QUERY_BYTES
+    tracemalloc.start()
+    p = decontaminate.Phrases(["1", "2"], pa.array([text, None]), 10)
+    assert p.groups[0][0].shape == (249_991, 10) and tracemalloc.get_traced_memory()[1] < 120 << 20
+    tracemalloc.stop()
+
+
 def test_lm_matches_automaton(spark, docs):
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
     train = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 != 2
