@@ -10,7 +10,7 @@ as sets of five-word shingles.  Texts that are equal are handled once, as one co
 2. *Bands.*  Each paragraph has ``BANDS`` keys of ``ROWS`` minima, by sliding minima over the text.
    Neighbouring paragraphs mostly share a key and are one row, a run.  A pair of similarity s
    meets with a probability of 1 - (1 - s**ROWS)**BANDS:
-   0.998 at 0.8, 0.9997 at 0.85, 0.99997 at 0.9, 0.43 at 0.3, 0.06 at 0.1.
+   0.994 at 0.8, 0.998 at 0.85, 0.9998 at 0.9, 0.38 at 0.3, 0.05 at 0.1.
 3. *Verification in each bucket.*  Runs of equal words are one class, and of each distinct
    set of shingles one paragraph is looked at.  At 0.8 a paragraph lacks five shingles at most: those around one
    word that was changed, put in or left out, or at its ends.  So two paragraphs are alike if
@@ -50,7 +50,7 @@ from .components import components, grouped, tiles
 SHINGLE = 5
 PASSAGE = 50
 RUN, GRAM = 25, 10
-BANDS, ROWS = 6, 2
+BANDS, ROWS = 5, 2
 TILE = 2048
 #: Shingles of a paragraph, and how many of them a paragraph of a similarity of 0.8 may lack.
 WIDE = PASSAGE - SHINGLE + 1
@@ -102,10 +102,19 @@ def anchors(h: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """content, doc_id, text to anchors (key, content, pos), and for each text with paragraphs doc_id and its number of words."""
     for batch in batches:
-        for a, b in kernel.slices(batch.column(1)):
-            r, at, key = anchors(*kernel.words(batch.column(1).slice(a, b - a), kernel.ALNUM))
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column(0).slice(a, b - a).take(pa.array(r)), pa.array(at.astype(np.int32))], names=["key", "content", "pos"])
+        for a, b in kernel.slices(batch.column(2)):
+            part = batch.slice(a, b - a)
+            h, offs = kernel.words(part.column(2), kernel.ALNUM)
+            r, at, key = anchors(h, offs)
+            size = np.diff(offs)
+            long = np.flatnonzero(size >= PASSAGE)
+            m, n = len(r), len(long)
+            yield pa.RecordBatch.from_arrays([
+                pa.concat_arrays([pa.array(key.view(np.int64)), pa.nulls(n, pa.int64())]), part.column(0).take(pa.array(np.concatenate([r, long]))), pa.concat_arrays([pa.array(at.astype(np.int32)), pa.nulls(n, pa.int32())]),
+                pa.concat_arrays([pa.nulls(m, pa.int64()), part.column(1).take(pa.array(long))]), pa.concat_arrays([pa.nulls(m, pa.int32()), pa.array(size[long].astype(np.int32))]),
+            ], names=["key", "content", "pos", "doc_id", "whole"])
 
 
 def _hits(part: pa.RecordBatch, column: int) -> tuple[np.ndarray, pa.Array]:
@@ -165,7 +174,7 @@ def _run_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """text and wants (structs pos, many, name, gid, exact, doc, first, lo, hi) to the wanted runs' shingles."""
+    """text and wants (structs pos, many, name, gid, tiled, doc, first, lo, hi) to the wanted runs' shingles."""
     for batch in batches:
         for a, b in kernel.slices(batch.column(0)):
             part = batch.slice(a, b - a)
@@ -179,7 +188,7 @@ def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 _, at = kernel.runs(start, size)
                 cut = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
                 data = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(cut * np.int32(4)), pa.py_buffer(np.ascontiguousarray(short[at]))])
-                yield pa.RecordBatch.from_arrays([*[own.field(k) for k in range(2, 9)], data], names=["name", "gid", "exact", "doc", "first", "lo", "hi", "sets"])
+                yield pa.RecordBatch.from_arrays([own.field(0), *[own.field(k) for k in range(2, 9)], data], names=["pos", "name", "gid", "tiled", "doc", "first", "lo", "hi", "sets"])
 
 
 class Windows:
@@ -317,66 +326,62 @@ class Windows:
 
 
 def _verify(t: pa.Table) -> pa.Table | None:
-    """Runs of whole buckets (by gid, in order) to covered words: name, start, end, the first document and least and greatest content that have them, a linked name."""
+    """Runs of whole buckets (by gid, in order) to covered words of each run's first content: content, start, end, removed, cluster.
+
+    Rows with ``to`` link the class ``cluster``, which several contents or buckets have, to another.
+    """
     gid, name = t.column("gid").to_numpy(), t.column("name").to_numpy()
-    exact = t.column("exact").to_numpy(zero_copy_only=False)
-    doc, first, lo, hi = (t.column(x).to_numpy() for x in ("doc", "first", "lo", "hi"))
+    doc, first, lo, hi, place = (t.column(x).to_numpy() for x in ("doc", "first", "lo", "hi", "pos"))
     data = t.column("sets").to_pylist()
     cut = np.concatenate([[0], np.cumsum([len(x) // 4 for x in data])])
     by = np.lexsort((first, doc))
-    rank = np.empty(len(gid), np.int64)
-    rank[by] = np.arange(len(by))
+    d, f = doc[by], first[by]
+    rank = np.empty(len(gid), np.int64)  # of the first document; equal ones share a number
+    rank[by] = np.cumsum(np.concatenate([[0], (d[1:] != d[:-1]) | (f[1:] != f[:-1])]))
     w = Windows(gid, np.frombuffer(b"".join(data), np.uint32), cut, rank, lo, hi)
-    # equal paragraphs of other contents, then alike ones: (paragraph, left, right, first, lo, hi)
-    twin = np.flatnonzero(w.lo != w.hi)
-    zero = np.zeros(len(twin), np.int64)
     own = np.full(w.n, -1)
     own[w.of[::-1]] = w.unit[::-1]  # a run that has the paragraph
-    links = [(w.unit, own[w.of])]
-    links[0] = tuple(x[(w.lo != w.hi)[w.of]] for x in links[0])
-    records = [np.stack([twin, zero, zero, w.rank[twin], w.lo[twin], w.hi[twin]])]
-    for which, left, right, r, low, high, head in w.alike():
-        own_only = w.lo[which] == w.hi[which]
-        keep = ~((left == 0) & (right == 0) & ~own_only & (w.rank[which] <= r))  # equal ones say as much
-        cols = np.stack([which, left, right, r, low, high])[:, keep]
-        order = np.lexsort(cols[[3, 2, 1, 0]])
-        cols = cols[:, order]
-        cell = np.flatnonzero(np.concatenate([[True], (cols[:3, 1:] != cols[:3, :-1]).any(0)])) if cols.shape[1] else np.zeros(0, np.int64)
-        if len(cell):
-            records.append(np.stack([*cols[:3, cell], np.minimum.reduceat(cols[3], cell), np.minimum.reduceat(cols[4], cell), np.maximum.reduceat(cols[5], cell)]))
+    # equal paragraphs of several contents, then alike ones: (paragraph, left, right, first document)
+    twin = w.lo != w.hi
+    many = np.flatnonzero(twin)
+    records = [np.stack([many, np.zeros_like(many), np.zeros_like(many), w.rank[many]])]
+    links = [(w.unit[twin[w.of]], own[w.of[twin[w.of]]])]
+    for which, left, right, r, _, _, head in w.alike():
+        keep = ~(twin[which] & (w.rank[which] <= r))  # equal ones say as much
+        cols = np.stack([which, left, right, r])[:, keep]
+        if cols.shape[1]:
+            cell = (cols[0] * WIDE + cols[1]) * WIDE + cols[2]
+            order = np.argsort(cell, kind="stable")
+            new = np.flatnonzero(np.concatenate([[True], cell[order][1:] != cell[order][:-1]]))
+            records.append(np.stack([*cols[:3, order[new]], np.minimum.reduceat(cols[3, order], new)]))
         links.append((own[which], own[head]))
     found = np.concatenate(records, axis=1)
     if not found.shape[1]:
         return None
-    a, b = (np.concatenate(x) for x in zip(*links, strict=True))
-    # a record without missing ends and with as early a document makes the narrower ones superfluous
-    best = np.full(w.n, len(gid) + 1)
-    full = (found[1] == 0) & (found[2] == 0)
-    np.minimum.at(best, found[0][full], found[3][full])
-    found = found[:, full | (found[3] < best[found[0]])]
     # to the runs that have the paragraph, neighbours with one answer together
-    order = np.argsort(found[0], kind="stable")
-    found = found[:, order]
+    found = found[:, np.argsort(found[0], kind="stable")]
     begin, end = np.searchsorted(found[0], np.arange(w.n)), np.searchsorted(found[0], np.arange(w.n), side="right")
     here, at = kernel.runs(begin[w.of], (end - begin)[w.of])
-    rec, unit, pos = found[1:, at], w.unit[here], w.at[here]
-    plain_twin = (rec[0] == 0) & (rec[1] == 0) & (w.lo[w.of[here]] != w.hi[w.of[here]]) & (rec[2] == w.rank[w.of[here]])
-    ok = ~plain_twin | exact[unit]  # equal paragraphs are reported by the first band alone
-    rec, unit, pos = rec[:, ok], unit[ok], pos[ok]
-    order = np.lexsort((pos, *rec, unit))
-    rec, unit, pos = rec[:, order], unit[order], pos[order]
-    new = np.ones(len(unit), bool)
-    new[1:] = (unit[1:] != unit[:-1]) | (rec[:, 1:] != rec[:, :-1]).any(0) | (pos[1:] > pos[:-1] + PASSAGE - 2 * LOST)
+    unit, pos = w.unit[here], w.at[here]
+    gone = found[3, at] < rank[unit]
+    start, stop = pos + found[1, at], pos + PASSAGE - found[2, at]
+    mark = unit * 2 + gone
+    order = np.lexsort((start, mark))
+    mark, start, stop = mark[order], start[order], stop[order]
+    reach = np.maximum.accumulate(stop + mark * (1 << 32)) - mark * (1 << 32)  # marks rise, so a run's reach is its own
+    new = np.ones(len(mark), bool)
+    new[1:] = (mark[1:] != mark[:-1]) | (start[1:] > reach[:-1])
     s = np.flatnonzero(new)
-    e = np.append(s[1:], len(unit)) - 1 if len(s) else s
-    d = by[np.minimum(rec[2][s], len(by) - 1)] if len(s) else s
-    out = {"name": name[unit[s]], "start": (pos[s] + rec[0][s]).astype(np.int32), "end": (pos[e] + PASSAGE - rec[1][s]).astype(np.int32), "doc": doc[d], "first": first[d], "lo": rec[3][s], "hi": rec[4][s]}
+    stop = reach[np.append(s[1:], len(mark)) - 1]
+    unit = mark[s] // 2
+    a, b = (np.concatenate(x) for x in zip(*links, strict=True))
     root = _roots(len(gid), a, b)
-    linked = np.flatnonzero(root != np.arange(len(gid)))
-    none = np.zeros(len(linked), np.int64)
-    more = {"name": name[linked], "start": none.astype(np.int32), "end": none.astype(np.int32), "doc": none, "first": none, "lo": none, "hi": none}
-    to = pa.concat_arrays([pa.nulls(len(s), pa.int64()), pa.array(name[root[linked]])])
-    return pa.table({**{k: np.concatenate([out[k], more[k]]) for k in more}, "to": to})
+    tied = np.flatnonzero((root != np.arange(len(gid))) & ((lo != hi) | t.column("tiled").to_numpy(zero_copy_only=False)))
+    none, zero = pa.nulls(len(tied), pa.int64()), np.zeros(len(tied), np.int32)
+    return pa.table({
+        "content": pa.concat_arrays([pa.array(first[unit]), none]), "start": np.concatenate([(start[s] + place[unit]).astype(np.int32), zero]), "end": np.concatenate([(stop + place[unit]).astype(np.int32), zero]),
+        "removed": pa.array(np.concatenate([mark[s] % 2 == 1, zero > 0])), "cluster": np.concatenate([name[root[unit]], name[tied]]), "to": pa.concat_arrays([pa.nulls(len(s), pa.int64()), pa.array(name[root[tied]])]),
+    })
 
 
 def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -425,37 +430,38 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     body = F.col(f"`{text}`")
     rows = docs.where(body.isNotNull()).select(F.xxhash64(body).alias("content"), F.col(f"`{doc_id}`").cast("long").alias("doc_id"), body.alias("text"))
     order = F.coalesce("doc_id", F.lit(-(1 << 63)))  # a null is before all ids
-    members = rows.select("content", "doc_id").distinct()
-    contents = members.groupBy("content").agg(F.min(order).alias("doc"), F.count("*").alias("docs"))
-    texts = saved(rows.dropDuplicates(["content"]).select("content", "text"))
-    found = saved(texts.mapInArrow(_anchor_rows, "key long, content long, pos int"))
-    shared = found.groupBy("key").agg(F.min("content").alias("lo"), F.max("content").alias("hi")).where("lo <> hi").select("key")
-    hits = found.join(shared, "key").groupBy("content").agg(F.collect_set("pos").alias("hits"))
-    near = saved(texts.join(hits, "content").join(contents, "content").select("content", "doc", "text", "hits"))
+    found = saved(rows.mapInArrow(_anchor_rows, "key long, content long, pos int, doc_id long, whole int"), compression="zstd")
+    members = saved(found.where("key IS NULL").select("content", "doc_id", "whole").distinct())
+    contents = members.groupBy("content").agg(F.min(order).alias("doc"), F.count("*").alias("docs"), F.first("whole").alias("whole"))
+    held = found.where("key IS NOT NULL").select("key", "content", "pos")
+    # stored, so that the join's sides are both dealt out anew and adaptive execution can split a hot anchor
+    shared = saved(held.groupBy("key").agg(F.min("content").alias("lo"), F.max("content").alias("hi")).where("lo <> hi").select("key"))
+    hits = held.join(shared, "key").groupBy("content").agg(F.collect_set("pos").alias("hits"))
+    near = saved(rows.select("content", "text").dropDuplicates(["content"]).join(hits, "content").join(contents, "content").select("content", "doc", "text", "hits"), compression="zstd")
     dropped(found)
-    runs = saved(near.mapInArrow(_run_rows, "band int, key long, name long, content long, doc long, pos int, many int"))
-    classes = saved(
-        runs.groupBy("key", "name").agg(F.min(F.struct("doc", "content")).alias("f"), F.min("content").alias("lo"), F.max("content").alias("hi"), F.min(F.struct("content", "pos")).alias("at"), F.first("many").alias("many"), F.first("band").alias("band"))
-    )
+    runs = saved(near.mapInArrow(_run_rows, "band int, key long, name long, content long, doc long, pos int, many int"), compression="zstd")
+    classes = runs.groupBy("key", "name").agg(F.min(F.struct("doc", "content", "pos", "many", "band")).alias("f"), F.min("content").alias("lo"), F.max("content").alias("hi"))
+    # of a key, classes of several contents or several classes; the rest has no partner
+    classes = saved(classes.select("key", "name", "f.*", "lo", "hi").withColumnRenamed("content", "first"))
     buckets = classes.groupBy("key").agg(F.count("*").alias("members"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("members > 1 AND lo <> hi").select("key", "members")
-    dealt = classes.join(buckets, "key").select("at.content", "at.pos", "many", "name", (F.col("band") == 0).alias("exact"), "f", "lo", "hi", F.explode(tiles(F.col("key"), F.col("name"), F.col("members"), TILE)).alias("to"))
-    wants = dealt.groupBy("content").agg(F.collect_list(F.struct("pos", "many", "name", "to.gid", "exact", F.col("f.doc").alias("doc"), F.col("f.content").alias("first"), "lo", "hi")).alias("wants"))
-    sets = near.join(wants, "content").select("text", "wants").mapInArrow(_set_rows, "name long, gid long, exact boolean, doc long, first long, lo long, hi long, sets binary")
-    verified = saved(grouped(sets, "gid", _verify, "name long, start int, end int, doc long, first long, lo long, hi long, to long", whole=True))
-    clusters = components(verified.where("to IS NOT NULL").select(F.col("name").alias("a"), F.col("to").alias("b"))).withColumnRenamed("node", "name")
-    # equal runs; every band has them, so the first one's will do
-    equal = classes.where("lo <> hi AND band = 0").select("name", F.lit(0).alias("start"), (F.col("many") + PASSAGE - 1).alias("end"), F.col("f.doc").alias("doc"), F.col("f.content").alias("first"), "lo", "hi")
-    parts = equal.unionByName(verified.where("to IS NULL").drop("to")).join(clusters, "name", "left").withColumn("cluster", F.coalesce("component", "name")).drop("component")
-    # read back, so that the join's sides are both dealt out anew and adaptive execution can split a hot class
-    placed = runs.select("name", "content", F.col("doc").alias("own"), "pos").join(saved(parts), "name").where((F.col("lo") != F.col("content")) | (F.col("hi") != F.col("content")))
-    earlier = F.struct("doc", "first") < F.struct("own", "content")
-    marked = placed.select("content", F.struct((F.col("pos") + F.col("start")).alias("start"), (F.col("pos") + F.col("end")).alias("end"), "cluster", earlier.alias("removed")).alias("p"))
-    lists = marked.groupBy("content").agg(F.collect_set("p").alias("found"))
+    dealt = classes.join(buckets, "key").withColumn("to", F.explode(tiles(F.col("key"), F.col("name"), F.col("members"), TILE)))
+    want = F.struct("pos", "many", "name", "to.gid", (F.col("members") > TILE).alias("tiled"), "doc", "first", "lo", "hi")
+    wants = dealt.groupBy(F.col("first").alias("content")).agg(F.collect_list(want).alias("wants"))
+    sets = near.join(wants, "content").select("text", "wants").mapInArrow(_set_rows, "pos int, name long, gid long, tiled boolean, doc long, first long, lo long, hi long, sets binary")
+    verified = saved(grouped(sets, "gid", _verify, "content long, start int, end int, removed boolean, cluster long, to long", whole=True))
+    dropped(near)
+    clusters = components(verified.where("to IS NOT NULL").select(F.col("cluster").alias("a"), F.col("to").alias("b"))).withColumnRenamed("node", "cluster")
+    # equal runs: every band has them, so the first one's will do; all but the first document's are removed
+    equal = classes.where("lo <> hi AND band = 0").select("name", F.struct("doc", "first").alias("f"))
+    own = runs.where("band = 0").select("name", "content", "doc", "pos", "many").join(equal, "name")
+    same = own.select("content", F.col("pos").alias("start"), (F.col("pos") + F.col("many") + PASSAGE - 1).alias("end"), (F.struct("doc", "content") > F.col("f")).alias("removed"), F.col("name").alias("cluster"))
+    marked = same.unionByName(verified.where("to IS NULL").drop("to")).join(clusters, "cluster", "left")
+    span = F.struct("start", "end", F.coalesce("component", "cluster").alias("cluster"), "removed")
+    lists = marked.groupBy("content").agg(F.collect_set(span).alias("found"))
     # texts that several documents have are repeated from end to end
-    size = F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"))
-    copies = texts.join(contents.where("docs > 1"), "content").select("content", F.col("doc").alias("least"), size.alias("whole")).where(F.col("whole") >= PASSAGE)
-    every = saved(lists.join(copies, "content", "full").select("content", "found", "least", "whole"))
-    out = members.join(every, "content").select("doc_id", "content", "found", "whole", (order > F.col("least")).alias("later"))
+    copies = contents.where("docs > 1").select("content", F.col("doc").alias("least"), "whole")
+    every = lists.join(copies, "content", "full").select("content", "found", "least", "whole")
+    out = members.select("content", "doc_id").join(saved(every), "content").select("doc_id", "content", "found", "whole", (order > F.col("least")).alias("later"))
     span = "array<struct<start:int,end:int>>"
     return out.mapInArrow(_spans, f"doc_id long, n_repeated long, n_removed long, spans {span}, removed {span}, clusters array<long>")
 
