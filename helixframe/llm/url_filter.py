@@ -7,17 +7,21 @@ That is what the cascade answers without a join: level 1 encodes the listed keys
 level 2 the keys of the whole corpus that level 1 takes for listed by mistake, level 3 the
 listed keys that level 2 takes for such, and so on until no mistake is left; a key is
 listed if the first level that doesn't hold it is an even one.  Sized by the number of keys
-in the corpus, the cascade needs O(log2(keys / listed)) bits for each listed key, which
-is checked before the filters become literals of the plan.
+in the corpus, the cascade needs O(log2(keys / listed)) bits for each listed key.
+
+Filters are data, not literals: a level is an array of 64-bit words, all levels are one row of a
+stored table, which is broadcast.  Its size is known beforehand; where it would be over ``MAX_WORDS``, keys are dealt by a hash
+into parts with a cascade each, and the table goes through them one after another.
 
 Edge cases: a null url, or one without ``://``, has an empty host and path and no rule;
-repeated pages are judged each; no rules: all is allowed; an empty table gives no rows;
+repeated pages are judged each; no rules: all is allowed; a rule listed as both is a block; an empty table gives no rows;
 other columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,48 +37,54 @@ RULES = (
     ("example.net", "/de/8", "block"),
     ("org", "/es/", "block"),
 )
-#: Most 64-bit words of all levels together.
-MAX_WORDS = 1 << 17
-MAX_LEVELS = 64
+#: Most 64-bit words of a cascade's first level; all levels together have about twice as many.
+MAX_WORDS = 1 << 20
 
 
 @dataclass
 class Level:
-    words: list[int]
+    name: str
+    row: DataFrame
     bits: int
     hashes: int
     seed: int
 
     def holds(self, key: Column) -> Column:
-        if not any(self.words):
-            return F.lit(False)
-        held = F.array(*[F.lit(w).cast("long") for w in self.words])
+        """Whether the filter, the column ``name``, holds ``key``."""
         out = F.lit(True)
-        for at in _positions(key, self):
-            out = out & (F.getbit(F.element_at(held, (F.floor(at / 64) + 1).cast("int")), (at % 64).cast("int")) == 1)
+        for at in _positions(key, self.bits, self.hashes, self.seed):
+            out = out & (F.getbit(F.get(F.col(self.name), F.floor(at / 64).cast("int")), (at % 64).cast("int")) == 1)
         return out
 
 
-def _positions(key: Column, level: Level) -> list[Column]:
-    return [F.pmod(F.xxhash64(F.lit(level.seed * 64 + i), key), F.lit(level.bits)) for i in range(level.hashes)]
+def _positions(key: Column, bits: int, hashes: int, seed: int) -> list[Column]:
+    return [F.pmod(F.xxhash64(F.lit(seed * 64 + i), key), F.lit(bits)) for i in range(hashes)]
 
 
-def _level(keys: DataFrame, count: int, rate: float, seed: int) -> Level:
-    """A Bloom filter of the ``count`` keys (column key) with about this rate of mistakes."""
+def _size(count: int, rate: float) -> tuple[int, int]:
+    """Hashes and bits of a Bloom filter of ``count`` keys with about this rate of mistakes."""
     hashes = max(1, round(-math.log2(rate)))
-    bits = max(64, 64 * math.ceil(count * hashes / math.log(2) / 64))
-    out = Level([], bits, hashes, seed)
-    if bits // 64 > MAX_WORDS:
-        raise ValueError("the listed keys need a cascade larger than the bound on broadcast filters")
-    at = keys.select(F.explode(F.array(*_positions(F.col("key"), out))).alias("at"))
-    words = at.groupBy(F.floor(F.col("at") / 64).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 AS int))")).alias("v")).collect()
-    out.words = [0] * (bits // 64)
-    for r in words:
-        out.words[r["w"]] = r["v"]
-    return out
-
-
-def build(listed: DataFrame, universe: DataFrame) -> list[Level]:
+    return hashes, max(64, 64 * math.ceil(count * hashes / math.log(2) / 64))
+
+
+def _level(keys: DataFrame, count: int, rate: float, seed: int, name: str) -> Level:
+    """A stored filter of the ``count`` keys (column key)."""
+    hashes, bits = _size(count, rate)
+    at = keys.select(F.explode(F.array(*_positions(F.col("key"), bits, hashes, seed))).alias("at"))
+    words = at.groupBy(F.floor(F.col("at") / 64).alias("id")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 AS int))")).alias("v"))
+    every = keys.sparkSession.range(bits // 64).join(words, "id", "left").select("id", F.coalesce("v", F.lit(0).cast("long")).alias("v"))
+    # one row of a known size
+    row = every.agg(F.transform(F.sort_array(F.collect_list(F.struct("id", "v"))), lambda x: x["v"]).alias(name))
+    return Level(name, saved(row), bits, hashes, seed)
+
+
+def _with(df: DataFrame, levels: list[Level]) -> DataFrame:
+    for x in levels:
+        df = df.crossJoin(F.broadcast(x.row))  # a single row
+    return df
+
+
+def build(listed: DataFrame, universe: DataFrame, name: str = "level") -> list[Level]:
     """Levels that separate ``listed`` from all other keys of ``universe`` (both: column key)."""
     ins = saved(listed.select("key").where("key IS NOT NULL").distinct())
     count = ins.count()
@@ -82,22 +92,23 @@ def build(listed: DataFrame, universe: DataFrame) -> list[Level]:
         return []
     keys = universe.select("key").where("key IS NOT NULL")
     every = max(1, keys.agg(F.approx_count_distinct("key")).first()[0])
-    levels = [_level(ins, count, min(0.5, count / (math.sqrt(2) * every)), 1)]
+    levels = [_level(ins, count, _rate(count, every), 1, f"{name}_1")]
     # the corpus's keys that level 1 takes for listed ones: about count / sqrt(2)
-    outs = saved(keys.where(levels[0].holds(F.col("key"))).distinct().join(ins, "key", "left_anti"))
+    outs = saved(_with(keys, levels).where(levels[0].holds(F.col("key"))).select("key").distinct().join(ins, "key", "left_anti"))
     inner, outer = outs, ins
-    while (n := inner.count()) and len(levels) < MAX_LEVELS:
-        levels.append(_level(inner, n, 0.5, len(levels) + 1))
-        if sum(len(x.words) for x in levels) > MAX_WORDS:
-            raise ValueError("the cascade is larger than the bound on broadcast filters")
-        inner, outer = saved(outer.where(levels[-1].holds(F.col("key")))), inner
-    if n:
-        raise RuntimeError("the cascade does not end; hash values collide")
+    while n := inner.count():  # each level halves what is left
+        new = _level(inner, n, 0.5, len(levels) + 1, f"{name}_{len(levels) + 1}")
+        levels.append(new)
+        inner, outer = saved(_with(outer, [new]).where(new.holds(F.col("key"))).select("key")), inner
     return levels
 
 
+def _rate(count: int, every: int) -> float:
+    return min(0.5, count / (math.sqrt(2) * max(1, every)))
+
+
 def member(levels: list[Level], key: Column) -> Column:
-    """Whether ``key``, of the universe or listed, is listed."""
+    """Whether ``key``, of the universe or listed, is listed; the levels' rows must be joined (:func:`_with`)."""
     out = F.lit(len(levels) % 2 == 1)
     for i in range(len(levels), 0, -1):
         out = F.when(levels[i - 1].holds(key), out).otherwise(F.lit(i % 2 == 0))
@@ -110,31 +121,55 @@ def parts(url: Column) -> tuple[Column, Column]:
     return ascii_lower(F.regexp_extract(rest, r"(?s)^([^/?#]*)", 1)), F.regexp_extract(rest, r"(?s)^[^/?#]*([^?#]*)", 1)
 
 
-def _key(host: Column, path: Column, labels: int, length: int) -> Column:
-    names = F.split(host, r"\.", -1)
-    return F.when((F.size(names) >= labels) & (F.char_length(path) >= length), F.concat(F.array_join(F.slice(names, F.size(names) - labels + 1, labels), "."), F.substring(path, 1, length)))
+def _keys(shapes: list[tuple[int, int]]) -> Column:
+    """The candidate key of each shape: (labels of the host, signs of the path)."""
+    names = F.split("host", r"\.", -1)
+
+    def key(s: Column) -> Column:
+        fits = (F.size(names) >= s["labels"]) & (F.char_length("path") >= s["length"])
+        return F.when(fits, F.concat(F.array_join(F.slice(names, F.size(names) - s["labels"] + 1, s["labels"]), "."), F.substring(F.col("path"), F.lit(1), s["length"])))
+
+    return F.transform(F.array(*[F.struct(F.lit(a).alias("labels"), F.lit(n).alias("length")) for a, n in shapes]), key)
+
+
+def _decide(own: dict[str, list[Level]], part: Callable[[Column], Column], k: int) -> Callable[[Column], Column]:
+    """A candidate with what part ``k`` says of it."""
+
+    def decide(c: Column) -> Column:
+        return F.struct(c["key"].alias("key"), *[F.when(part(c["key"]) == k, member(own[v], c["key"])).otherwise(c[v]).alias(v) for v in ("block", "allow")])
+
+    return decide
 
 
-def judge(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, url: str = "url", page_id: str = "page_id") -> DataFrame:
-    """page_id, host, path, rule, verdict."""
+def judge(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] | DataFrame = RULES, url: str = "url", page_id: str = "page_id") -> DataFrame:
+    """page_id, host, path, rule, verdict; ``rules``: host, path, verdict ("block" or "allow"), as tuples or a table."""
     spark = pages.sparkSession
     host, path = parts(F.col(f"`{url}`"))
     rows = pages.select(F.col(f"`{page_id}`").alias("page_id"), host.alias("host"), path.alias("path"))
-    shapes = sorted({(h.count(".") + 1, len(p)) for h, p, _ in rules}, key=lambda s: (-s[0] - s[1], s))
-    kinds = {}
-    universe = None
-    if shapes:
-        universe = rows.select(F.explode(F.array(*[_key(F.col("host"), F.col("path"), *s) for s in shapes])).alias("key"))
-        for kind in ("block", "allow"):
-            listed = [(h + p,) for h, p, v in rules if v == kind]
-            kinds[kind] = build(spark.createDataFrame(listed, "key string"), universe) if listed else []
-    # of the rules that fit the longest wins: keys in order of length, ties by host and path
-    keys = [_key(F.col("host"), F.col("path"), *s) for s in shapes]
-    cand = F.array(*[F.struct(k.alias("key"), *[member(kinds[x], k).alias(x) for x in ("block", "allow")]) for k in keys]) if keys else F.array()
-    if not keys:
+    if not isinstance(rules, DataFrame):
+        rules = spark.createDataFrame(list(rules), "host string, path string, verdict string")
+    size = F.struct((F.length("host") - F.length(F.replace(F.col("host"), F.lit("."), F.lit(""))) + 1).alias("labels"), F.char_length("path").alias("length"))
+    shapes = sorted((tuple(r["s"]) for r in rules.select(size.alias("s")).distinct().collect()), key=lambda s: (-s[0] - s[1], s))
+    if not shapes:
         return rows.select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit("allow").alias("verdict"))
-    fits = F.filter(cand, lambda c: c["block"] | c["allow"])
-    best = F.reduce(fits, F.lit(None).cast("struct<key:string,block:boolean,allow:boolean>"), lambda a, c: F.when(a.isNull() | (F.char_length(c["key"]) > F.char_length(a["key"])), c).otherwise(a))
+    # the corpus's complete key universe, once
+    universe = saved(rows.select("host", "path").distinct().select(F.explode(_keys(shapes)).alias("key")).where("key IS NOT NULL").distinct())
+    listed = rules.select(F.concat("host", "path").alias("key"), "verdict")
+    wanted = {r["verdict"]: r["n"] for r in listed.groupBy("verdict").agg(F.count_distinct("key").alias("n")).collect()}
+    most = max(wanted.values())
+    hashes, bits = _size(most, _rate(most, universe.count()))
+    count = max(1, -(-bits // 64 // MAX_WORDS))
+    part = lambda key: F.pmod(F.xxhash64(F.lit(-1), key), F.lit(count))
+    none = F.lit(None).cast("boolean")
+    cand = F.transform(_keys(shapes), lambda k: F.struct(k.alias("key"), none.alias("block"), none.alias("allow")))
+    rows = rows.withColumn("cand", cand)
+    for k in range(count):
+        own = {v: build(listed.where((F.col("verdict") == v) & (part(F.col("key")) == k)), universe.where(part(F.col("key")) == k), v) if wanted.get(v) else [] for v in ("block", "allow")}
+        decided = F.transform("cand", _decide(own, part, k))
+        rows = _with(rows, own["block"] + own["allow"]).select("page_id", "host", "path", decided.alias("cand"))
+        rows = rows if k == count - 1 else saved(rows)
+    # of the rules that fit the longest wins
+    best = F.reduce(F.filter("cand", lambda c: c["block"] | c["allow"]), F.lit(None).cast("struct<key:string,block:boolean,allow:boolean>"), lambda a, c: F.when(a.isNull() | (F.char_length(c["key"]) > F.char_length(a["key"])), c).otherwise(a))
     out = rows.withColumn("best", best)
     return out.select("page_id", "host", "path", F.col("best.key").alias("rule"), F.when(F.col("best.block"), "block").otherwise("allow").alias("verdict"))
 

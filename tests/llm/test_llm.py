@@ -305,10 +305,25 @@ def test_bloom_cascade_is_exact(spark):
     listed = spark.range(0, 3000, 7).select(F.col("id").cast("string").alias("key"))
     universe = spark.range(3000).select(F.col("id").cast("string").alias("key"))
     levels = url_filter.build(listed, universe)
-    out = universe.select("key", url_filter.member(levels, F.col("key")).alias("m")).collect()
+    out = url_filter._with(universe, levels).select("key", url_filter.member(levels, F.col("key")).alias("m")).collect()
     assert len(levels) > 2 and all(r["m"] == (int(r["key"]) % 7 == 0) for r in out)
 
 
+@pytest.mark.parametrize("words", [1 << 20, 20])
+def test_url_filter_with_many_rules(spark, words, monkeypatch):
+    monkeypatch.setattr(url_filter, "MAX_WORDS", words)  # the second: parts, one after another
+    rng = random.Random(6)
+    hosts = [f"h{i}.{rng.choice(('net', 'org', 'co.uk'))}" for i in range(300)]
+    rules = sorted({(rng.choice(hosts), rng.choice(("/", "/a", "/a/b", "")), rng.choice(("block", "allow"))) for _ in range(400)})
+    rules = list({(h, p): (h, p, v) for h, p, v in rules}.values())
+    urls = [f"http://{rng.choice(('', 'www.', 'x.y.'))}{rng.choice(hosts)}{rng.choice(('', '/', '/a', '/a/b/c', '/ab', '/z'))}" for _ in range(500)]
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), tuple(rules)).collect()}
+    for i, u in enumerate(urls):
+        host, path = re.match(r"http://([^/]*)(.*)", u).groups()
+        fit = sorted(((h + p, v) for h, p, v in rules if (host == h or host.endswith("." + h)) and path.startswith(p)), key=lambda x: -len(x[0]))
+        assert got[i] == (fit[0] if fit else (None, "allow"))
+
+
 def test_mixing(spark, docs, empty):
     got = mixing.mix(docs).collect()
     assert len(got) == docs.count()
