@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dna
@@ -86,12 +86,20 @@ def normalise_windows(z: DataFrame, width: int) -> DataFrame:
     return z.groupBy("seq").applyInPandas(run, z.schema)
 
 
-def step(z: DataFrame, width: int) -> np.ndarray:
+def log_likelihood(lam: float, g: Column) -> Column:
+    """Expected ln likelihood of a strand of a window with Z, bs and ll; ``g``: the prior chance that no site can be there."""
+    site = F.log(1 - g) + math.log(lam) + F.col("bs")
+    none = F.log((1 - g) * (1 - lam) + g) + F.col("ll")
+    return F.when(F.col("Z") > 0, F.col("Z") * site).otherwise(0.0) + F.when(F.col("Z") < 1, (1 - F.col("Z")) * none).otherwise(0.0)
+
+
+def step(z: DataFrame, width: int, lam: float) -> np.ndarray:
     """[4 * width] sums of Z by position and base in the motif's direction, then sum of Z and log-likelihood."""
     word = F.when(F.col("rc") == 0, F.col("w")).otherwise(dna.reverse_complement(F.col("w")))
     x = z.withColumn("o", word)
     sums = [F.coalesce(F.sum(F.when(dna.at(F.col("o"), i) == b, F.col("Z"))), F.lit(0.0)) for i in range(width) for b in "ACGT"]
-    row = x.agg(*[s.alias(f"c{k}") for k, s in enumerate(sums)], F.coalesce(F.sum("Z"), F.lit(0.0)).alias("z"), F.coalesce(F.sum(F.col("Z") * F.col("bs") + (1 - F.col("Z")) * F.col("ll")), F.lit(0.0)).alias("ll")).first()
+    ll = log_likelihood(lam, F.col("g") if "g" in z.columns else F.lit(0.0))
+    row = x.agg(*[s.alias(f"c{k}") for k, s in enumerate(sums)], F.coalesce(F.sum("Z"), F.lit(0.0)).alias("z"), F.coalesce(F.sum(ll), F.lit(0.0)).alias("ll")).first()
     return np.array(list(row), float)
 
 
@@ -107,7 +115,7 @@ def run_em(
             z = posteriors(rows, motif, lam, epsilon)
             if normalise:
                 z = normalise_windows(z.select("seq", "gpos", "rc", "w", "ll", "bs", "Z"), motif.width)
-            got = step(z, motif.width)
+            got = step(z, motif.width, lam)
             counts = got[: 4 * motif.width].reshape(-1, 4) + pseudo / 4
             new = Motif(motif.name, counts / counts.sum(1, keepdims=True), max(1, int(counts[-1].sum())))
             lam = sites_lambda((1 - w_sites) * got[-2] + w_sites * sites, known_windows)
