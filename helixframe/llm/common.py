@@ -17,15 +17,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder below ``spark.checkpoint.dir``; all executors see it.
 
-    Only where the cluster names none (tests on one machine) a temporary folder is used.
+    Only where none is named and all tasks run in this process's machine (tests) a temporary folder is used.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="helixframe-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        context = spark.sparkContext
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if context.applicationId not in _own:
+            _own[context.applicationId] = tempfile.mkdtemp(prefix="helixframe-")
+        base = _own[context.applicationId]
     return f"{base.rstrip('/')}/helixframe/{uuid.uuid4().hex}"
 
 

@@ -131,10 +131,6 @@ def words(texts: pa.Array, table: bytes) -> tuple[np.ndarray, np.ndarray]:
     return hashes(buf, st, en), np.searchsorted(st, offs)
 
 
-def word_hash(word: str) -> int:
-    return int(words(pa.array([word]), _table((0, 255)))[0][0])
-
-
 def grams(h: np.ndarray, n: int) -> np.ndarray:
     """Hash of the ``n`` words that begin at each position (the last ``n - 1`` are of no use)."""
     if n == 1 or not len(h):
@@ -169,10 +165,3 @@ def shingles(h: np.ndarray, offs: np.ndarray, n: int = 5) -> tuple[np.ndarray, n
             x = mix(x * U(MULT) + v)
         out[np.searchsorted(row, r)] = x[0]
     return out, np.concatenate([[0], np.cumsum(size)])
-
-
-def crc_rows(ids: pa.Array, by: int) -> np.ndarray:
-    """crc32 of each id as decimal text, mod ``by`` (a null counts as the text of nothing)."""
-    import zlib
-
-    return np.array([zlib.crc32(b"" if x is None else str(x).encode()) % by for x in ids.to_pylist()], dtype=np.int64)
