@@ -11,7 +11,7 @@ The prefix sums never gather a source in one task: keys are dealt to bins of abo
 ordered by a window.
 
 Edge cases: a null or empty text has size 0 and is never taken; a null source is a source, the
-last; rows with equal ids share a draw and are ordered by size; a source of size 0 has target
+last; rows with equal (or null) ids share a draw, so they are in one bin, and are ordered by size; a source of size 0 has target
 0; an empty table gives no rows; other columns are ignored.
 """
 
@@ -69,7 +69,8 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, doc_id: str = "doc_id
         rows = rows.withColumn("w", F.lit(1.0))
     rows = saved(rows.withColumn("key", -F.log(draw(F.col("doc_id"))) / F.col("w")).drop("w"))
     bins = max(1, rows.count() // BIN_ROWS)
-    rows = rows.withColumn("bin", F.floor((1 - F.exp(-F.col("key"))) * bins))
+    # by the smallest weight, so that no weight crowds a bin: at most GOOD / BAD times the mean
+    rows = rows.withColumn("bin", F.floor((1 - F.exp(-F.col("key") * min(GOOD, BAD, 1.0))) * bins))
     sums = saved(rows.groupBy("source", "bin").agg(F.sum("size").alias("bin_size")))
     goal = targets(sums.groupBy("source").agg(F.sum("bin_size").alias("source_size")))
     upto = W.partitionBy("source").orderBy("bin").rowsBetween(W.unboundedPreceding, 0)
