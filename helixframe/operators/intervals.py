@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import bisect
+from collections.abc import Callable
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -102,16 +106,33 @@ def site_accuracy(c: DataFrame) -> DataFrame:
     return c.select(sn.alias("sSn"), ppv.alias("sPPV"), ((sn + ppv) / 2).alias("sASP"))
 
 
-def _choose(rows: pd.DataFrame) -> pd.DataFrame:
-    order = sorted(range(len(rows)), key=lambda i: (-rows["Z"].iat[i], rows["pos"].iat[i], rows["strand"].iat[i]))
-    taken: list[tuple[int, int]] = []
+def _choose(z: np.ndarray, start: np.ndarray, end: np.ndarray, order: np.ndarray) -> list[int]:
+    """In ``order``, the intervals that overlap none chosen before."""
+    begun: list[int] = []  # of the chosen, in order; these never overlap, so neighbours decide
+    ended: list[int] = []
     keep = []
-    for i in order:
-        s, e = rows["pos"].iat[i], rows["pos"].iat[i] + len(rows["w"].iat[i])
-        if all(e <= a or b <= s for a, b in taken):
-            taken.append((s, e))
+    for i in order.tolist():
+        s, e = int(start[i]), int(end[i])
+        k = bisect.bisect_left(begun, s)
+        if (k == 0 or ended[k - 1] <= s) and (k == len(begun) or begun[k] >= e):
+            begun.insert(k, s)
+            ended.insert(k, e)
             keep.append(i)
-    return rows.iloc[sorted(keep)]
+    return sorted(keep)
+
+
+def _by_island(sites: DataFrame, per: str, choose: Callable[[pd.DataFrame], list[int]]) -> DataFrame:
+    """``choose`` (positions of rows that stay) in each chain of overlapping sites; sites that stand alone, most of them, stay in the plan."""
+    ship(sites.sparkSession)
+    names = sites.columns
+    chained = islands(intervals(sites), per)
+    chained = chained.withColumn("_members", F.count("*").over(W.partitionBy(per, "seq", "island")))
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        return g.iloc[choose(g)][names]
+
+    alone = chained.where("_members = 1").select(names)
+    return alone.unionByName(chained.where("_members > 1").drop("_members").groupBy(per, "seq", "island").applyInPandas(run, sites.schema))
 
 
 def greedy(sites: DataFrame, per: str = "motif") -> DataFrame:
@@ -120,26 +141,27 @@ def greedy(sites: DataFrame, per: str = "motif") -> DataFrame:
     Overlaps never leave a chain of overlapping sites, so chains are the groups: their
     number grows with the sequences and no long sequence is one task.
     """
-    ship(sites.sparkSession)
-    names = sites.columns
-    chained = islands(intervals(sites), per)
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        return _choose(g)[names]
-    return chained.groupBy(per, "seq", "island").applyInPandas(run, sites.schema)
+
+    def choose(g: pd.DataFrame) -> list[int]:
+        z, start = g["Z"].to_numpy(), g["pos"].to_numpy()
+        return _choose(z, start, start + g["w"].str.len().to_numpy(), np.lexsort((g["strand"].to_numpy().astype(str), start, -z)))
+
+    return _by_island(sites, per, choose)
 
 
 def by_position(sites: DataFrame) -> DataFrame:
     """In order of position, of overlapping neighbours the better one; ties keep the earlier."""
-    ship(sites.sparkSession)
-    names = sites.columns
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["pos", "strand"])
+
+    def choose(g: pd.DataFrame) -> list[int]:
+        z, start = g["Z"].to_numpy(), g["pos"].to_numpy()
+        end = start + g["w"].str.len().to_numpy()
         keep: list[int] = []
-        for i in range(len(g)):
-            if keep and g["pos"].iat[i] < g["pos"].iat[keep[-1]] + len(g["w"].iat[keep[-1]]):
-                if g["Z"].iat[i] > g["Z"].iat[keep[-1]]:
+        for i in np.lexsort((g["strand"].to_numpy().astype(str), start)).tolist():
+            if keep and start[i] < end[keep[-1]]:
+                if z[i] > z[keep[-1]]:
                     keep[-1] = i
             else:
                 keep.append(i)
-        return g.iloc[keep][names]
-    return islands(intervals(sites), "motif").groupBy("motif", "seq", "island").applyInPandas(run, sites.schema)
+        return keep
+
+    return _by_island(sites, "motif", choose)

@@ -14,11 +14,22 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
     Records are split by the text source, so large files are read in parallel.
     """
-    raw = spark.read.option("lineSep", "\n>").text(path).select(F.regexp_replace("value", "^>", "").alias("v"), F.col("_metadata.file_path").alias("f"), F.monotonically_increasing_id().alias("at"))
+    raw = spark.read.option("lineSep", "\n>").text(path).select(F.regexp_replace("value", "^>", "").alias("v"), F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("block"))
     cut = F.locate("\n", F.col("v"))
-    parts = raw.select("f", "at", F.trim(F.when(cut > 0, F.substring("v", F.lit(1), cut - 1)).otherwise(F.col("v"))).alias("name"), F.when(cut > 0, dna.normalise(F.expr("substring(v, locate('\n', v) + 1)"))).otherwise("").alias("s"))
+    parts = raw.select("f", "block", F.trim(F.when(cut > 0, F.substring("v", F.lit(1), cut - 1)).otherwise(F.col("v"))).alias("name"), F.when(cut > 0, dna.normalise(F.expr("substring(v, locate('\n', v) + 1)"))).otherwise("").alias("s"))
     full = parts.where("name <> '' OR s <> ''")
-    return full.select((F.row_number().over(W.orderBy("f", "at")) - 1).cast("long").alias("seq"), "name", "s")
+    return numbered(full, "seq").select("seq", "name", "s")
+
+
+def numbered(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` with their number in order of file (f) and place; block: the start of the row's split.
+
+    Only a number for each split is summed up in one task; the rows stay where they are read.
+    """
+    placed = rows.withColumn("_at", F.monotonically_increasing_id())  # rises by one within a split
+    splits = placed.groupBy("f", "block").agg(F.min("_at").alias("_low"), F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.orderBy("f", "block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return placed.join(splits.withColumn("_before", before), ["f", "block"]).withColumn(name, F.col("_before") + F.col("_at") - F.col("_low")).drop("_at", "_low", "_n", "_before")
 
 
 def from_strings(spark: SparkSession, seqs: list[tuple[str, str]]) -> DataFrame:

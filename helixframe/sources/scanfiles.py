@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dna
+from . import fasta
 
 OCCURRENCES = "motif string, w string, seq long, pos int, strand string, Z double, score int, pvalue double"
 
@@ -22,10 +23,8 @@ def write_occurrences(sites: DataFrame, path: str) -> None:
 
 def read_lengths(spark: SparkSession, path: str) -> DataFrame:
     """(seq, length, name): the order of lines is the number of the sequence."""
-    from pyspark.sql import Window as W
-
-    raw = spark.read.schema("length int, name string").option("comment", "#").csv(path).withColumn("at", F.monotonically_increasing_id())
-    return raw.select((F.row_number().over(W.orderBy("at")) - 1).cast("long").alias("seq"), "length", "name")
+    raw = spark.read.schema("length int, name string").option("comment", "#").csv(path).select("length", "name", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("block"))
+    return fasta.numbered(raw, "seq").select("seq", "length", "name")
 
 
 def write_lengths(seqs: DataFrame, path: str) -> None:
