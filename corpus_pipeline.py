@@ -3,6 +3,10 @@
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame, which is written and read
 again as the next one's ``docs``.  All but the last return the columns of ``documents``; the
 last returns, for each document that the mix holds, the shard where it is.
+
+Edge cases: null and empty texts have no language and go at the first stage; of repeated rows one stays after the
+second; rows whose ids are null or used twice are told apart by their text; other columns, whatever their names,
+are carried; an empty table gives empty stages.  Very long texts are whole at every stage.
 """
 
 from __future__ import annotations
