@@ -57,6 +57,22 @@ def saved(df: DataFrame, keep: bool = False, compression: str = "snappy") -> Dat
     return out
 
 
+def dealt(df: DataFrame, by: str, n: int) -> DataFrame:
+    """As :func:`saved`, in ``n`` buckets by the column ``by``: what groups by it reads the buckets without a shuffle."""
+    spark, path, name = df.sparkSession, shared_dir(df.sparkSession), f"helixframe_{uuid.uuid4().hex}"
+    df.write.bucketBy(n, by).option("path", path).option("compression", "snappy").saveAsTable(name)
+    atexit.register(_forget, spark, name, path)
+    return spark.table(name)
+
+
+def _forget(spark: SparkSession, name: str, path: str) -> None:
+    try:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    except Exception:  # the session has ended, and its tables with it
+        pass
+    remove(spark, path)
+
+
 def dropped(df: DataFrame) -> None:
     """Removes a table of :func:`saved` that nothing reads any more."""
     if path := getattr(df, "_helixframe_path", None):

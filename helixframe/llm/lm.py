@@ -9,7 +9,7 @@ of mass ``MU[order]``, of the next), so all weights follow from the counts of an
 its context, and every state's distribution sums to one.  The empty context is the
 add-one unigram model that also gives ``base_score``.
 
-The input is read once: a block of documents (some megabytes of text) is stored as its tokens.
+The input is read once: a block of documents (some megabytes of text) is stored as its tokens, in buckets by its name.
 Each block reduces its n-grams to sorted distinct hashes (words 64 bits, pairs and triples ``KEY_BITS``,
 whatever the corpus's size) and sends them, dealt by hash range, as packed arrays with its
 training counts; the range's owner sums them up and answers each block with what others
@@ -38,15 +38,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernel
-from .common import duck_crc, partitions, saved, split_mod, table
+from .common import dealt, duck_crc, partitions, split_mod, table
 from .pack import dump, load
 
 #: Prior mass of the next shorter context, for word pairs and triples.
 MU = {2: 1000.0, 3: 4.0}
 #: Text of a block of documents.
 BLOCK_BYTES = 8 << 20
-#: Bits of a pair's or triple's hash: of 10**13 of them about one in 10**5 shares its hash with another.
-KEY_BITS = 60
+#: Bits of a pair's or triple's hash: of 10**12 of them about one in 70,000 shares its hash with another.
+KEY_BITS = 56
 #: Decimals of the query's scores.
 DIGITS = 6
 #: Tokens of a text that are walked in one piece.
@@ -220,19 +220,28 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ends = np.zeros(len(t), bool)
             ends[np.cumsum(size) - 1] = True
             t[ends], t[~ends] = END, h
-            vocabulary, at = np.unique(t, return_inverse=True)
+            vocabulary, at, many = np.unique(t, return_inverse=True, return_counts=True)
+            # frequent words first, so that codes are short; by hash among words about as frequent
+            order = np.lexsort((vocabulary, -np.frexp(many)[1]))
+            code = np.empty(len(order), np.uint32)
+            code[order] = np.arange(len(order), dtype=np.uint32)
+            vocabulary, at = vocabulary[order], code[at]
             sink = pa.BufferOutputStream()
             head = pa.record_batch([part.column(0), part.column(1)], names=["id", "train"])
             with pa.ipc.new_stream(sink, head.schema) as w:
                 w.write_batch(head)
-            yield _batch([(-1, uuid.uuid4().hex, 0, 0, sink.getvalue().to_pybytes(), dump(size.astype(np.int32)), dump(at.astype(np.uint32)), dump(vocabulary, rising=True), None, None)])
+            yield _batch([(-1, uuid.uuid4().hex, 0, 0, sink.getvalue().to_pybytes(), dump(size.astype(np.int32)), dump(at), dump(vocabulary, rising=True), None, None)])
 
 
 def _open(row: dict) -> tuple[pa.Table, Ngrams, list[np.ndarray]]:
     """A stored block: its ids and train flags, n-grams, and their counts in its own training texts."""
     head = pa.ipc.open_stream(row["a"]).read_all()
     size = load(row["b"]).astype(np.int64)
-    g = Ngrams(load(row["d"], rising=True), load(row["c"]).astype(np.int64), size)
+    vocabulary = load(row["d"], rising=True)
+    order = np.argsort(vocabulary)
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    g = Ngrams(vocabulary[order], rank[load(row["c"])], size)
     return head, g, g.counts(np.repeat(head.column("train").to_numpy(), size))
 
 
@@ -246,7 +255,7 @@ def score(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "t
     rows = docs.select(F.col(f"`{doc_id}`").alias("id"), F.coalesce(train, F.lit(False)).alias("train"), F.col(f"`{text}`").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     edges = [np.array([(i << bits) // ranges for i in range(1, ranges)], dtype=U) for bits in (64, KEY_BITS, KEY_BITS)]
-    blocks = saved(rows.mapInArrow(_blocks, _ROW))
+    blocks = dealt(rows.mapInArrow(_blocks, _ROW), "block", ranges)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -281,10 +290,9 @@ def score(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "t
             cols.append([dump(x) for x in np.split(more, sizes)])
         return pa.Table.from_batches([_batch([(key[0].as_py(), names[i], n, v, cols[0][i], cols[1][i], cols[2][i], None, None, None) for i in range(len(names))])])
 
-    def walk(key: tuple, group: pa.Table) -> pa.Table:
-        group = group.sort_by("bucket")
-        head, g, counts = _open(group.slice(0, 1).to_pylist()[0])
-        tail = group.slice(1)
+    def walk(tail: pa.Table, block: pa.Table) -> pa.Table:
+        tail = tail.sort_by("bucket")
+        head, g, counts = _open(block.to_pylist()[0])
         # every range answers every block, so the ranges' sums are the corpus's
         n, v = sum(tail.column("n").to_pylist()), sum(tail.column("v").to_pylist())
         counts = [c + np.concatenate([load(x) for x in tail.column(4 + k).to_pylist()]) for k, c in enumerate(counts)]
@@ -296,7 +304,8 @@ def score(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "t
         return pa.table({"id": head.column("id"), "train": head.column("train")} | {k: pa.array(x) for k, x in sums.items()})
 
     answers = blocks.mapInArrow(ask, _ROW).groupBy("bucket").applyInArrow(answer, _ROW)
-    return answers.unionByName(blocks).groupBy("block").applyInArrow(walk, f"id {kind}, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    # the blocks lie in buckets by name, so only the answers are shuffled
+    return answers.groupBy("block").cogroup(blocks.groupBy("block")).applyInArrow(walk, f"id {kind}, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
