@@ -201,3 +201,6 @@ _FOUND = 'x."seq" = y."seq" AND least(x."end", y."end") - greatest(x."start", y.
 add("site_accuracy", f"{OCC},\n{MERGED},\nt AS (SELECT * FROM merged WHERE motif = 'M1'),\np AS (SELECT * FROM merged WHERE motif = 'M3'),\nc AS (SELECT (SELECT count(*) FROM t x WHERE EXISTS (SELECT 1 FROM p y WHERE {_FOUND.format('x')})) AS stp, (SELECT count(*) FROM p y WHERE NOT EXISTS (SELECT 1 FROM t x WHERE {_FOUND.format('x')})) AS sfp, (SELECT count(*) FROM t) AS n)",
     f'SELECT stp, sfp, n - stp AS sfn, {r("stp / n::DOUBLE", 9)} AS "sSn", {r("stp / (stp + sfp)::DOUBLE", 9)} AS "sPPV", {r("(stp / n::DOUBLE + stp / (stp + sfp)::DOUBLE) / 2", 9)} AS "sASP" FROM c')
 add("report_header", OCC, f"SELECT (SELECT count(*) FROM lens) AS seqs, (SELECT sum(length)::BIGINT FROM lens) AS bases, count(*) AS sites, count(DISTINCT motif) AS motifs, {r('(SELECT sum(length)::DOUBLE FROM lens) / count(*)')} AS bases_per_site FROM occ")
+add("fasta_round_trip", SEQS, "SELECT row_number() OVER (ORDER BY seq) - 1 AS seq, name, length(s)::BIGINT AS length, md5(s) AS digest FROM seqs")
+SQL["scan_csv_round_trip"] = f"SELECT motif, w, seq, pos, strand, score FROM ({SQL['pwm_scan_pvalues']})"
+add("lengths_round_trip", SEQS, "SELECT row_number() OVER (ORDER BY seq) - 1 AS seq, length(s)::BIGINT AS length, name FROM seqs")

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions import dna
 from ..operators import background, discover, discriminate, em, intervals, pssm, sampling, scan, sequences, spacing, stats
-from ..session import ship
-from ..sources import scanfiles
+from ..session import folder, ship
+from ..sources import fasta, scanfiles
 from . import settings as S
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -553,3 +553,27 @@ def motif_clusters(spark: SparkSession, d: str) -> DataFrame:
 def sequence_clusters(spark: SparkSession, d: str) -> DataFrame:
     """k-means of the sequences by the expected numbers of sites."""
     return stats.cluster_sequences(stats.seq_wide(sites(spark, d), lengths(spark, d), S.NAMES), [f"e_{m}" for m in S.NAMES])
+
+
+@query
+def fasta_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """All sequences written as FASTA files and read again; numbered in the files' order."""
+    at = folder(spark)
+    fasta.write(seqs(spark, d).orderBy("seq"), at)
+    return fasta.read(spark, at).select("seq", "name", F.length("s").cast("long").alias("length"), F.md5("s").alias("digest"))
+
+
+@query
+def scan_csv_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """The scan's sites written as CSV and read again."""
+    at = folder(spark)
+    scanfiles.write_occurrences(scan.decorate(sites(spark, d), [m.for_scan() for m in S.MOTIFS], freqs(spark, d)), at)
+    return scanfiles.read_occurrences(spark, at, False).select("motif", "w", "seq", F.col("pos").cast("long").alias("pos"), "strand", "score")
+
+
+@query
+def lengths_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Lengths and names of all sequences written as CSV and read again."""
+    at = folder(spark)
+    scanfiles.write_lengths(seqs(spark, d), at)
+    return scanfiles.read_lengths(spark, at).select("seq", F.col("length").cast("long").alias("length"), "name")

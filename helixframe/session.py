@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -25,6 +26,16 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+def folder(spark: SparkSession) -> str:
+    """A fresh folder that the driver and all executors see: below ``spark.checkpoint.dir``, or a temporary one where all run on this machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="helixframe-")
+    return f"{base.rstrip('/')}/helixframe/{uuid.uuid4().hex}"
+
+
 def local_session(cores: int = 8, shuffle: int = 8) -> SparkSession:
     return (
         SparkSession.builder.master(f"local[{cores}]").appName("helixframe")
