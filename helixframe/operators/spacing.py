@@ -16,31 +16,34 @@ BIN = 512
 def close_pairs(sites: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """Pairs of disjoint sites of a sequence, the second beginning 0 to ``distance`` after the first ends.
 
-    A band join by bins of the second's start, so no sequence is a hot key.
+    A band join by bins of the second's start, so no sequence is a hot key.  A bin is no less than the
+    band, so a site has two bins at most; merged, as the planner doesn't count those copies when it
+    picks a side to broadcast.
     """
+    size = max(BIN, distance + 1)
     x = intervals(sites).select("seq", "motif", "strand", "start", "end", "w")
-    first = x.select("seq", *[F.col(c).alias(f"{c}1") for c in ("motif", "strand", "start", "end", "w")]).withColumn("bin", F.explode(F.sequence(F.floor(F.col("end1") / BIN), F.floor((F.col("end1") + distance) / BIN))))
-    second = x.select("seq", *[F.col(c).alias(f"{c}2") for c in ("motif", "strand", "start", "end", "w")]).withColumn("bin", F.floor(F.col("start2") / BIN))
-    return first.join(second, ["seq", "bin"]).where(F.col("start2").between(F.col("end1"), F.col("end1") + distance)).drop("bin")
+    first = x.select("seq", *[F.col(c).alias(f"{c}1") for c in ("motif", "strand", "start", "end", "w")]).withColumn("bin", F.explode(F.sequence(F.floor(F.col("end1") / size), F.floor((F.col("end1") + distance) / size))))
+    second = x.select("seq", *[F.col(c).alias(f"{c}2") for c in ("motif", "strand", "start", "end", "w")]).withColumn("bin", F.floor(F.col("start2") / size))
+    return first.join(second.hint("merge"), ["seq", "bin"]).where(F.col("start2").between(F.col("end1"), F.col("end1") + distance)).drop("bin")
 
 
 def oriented(pairs: DataFrame, lengths: DataFrame | None = None, distance: int = DISTANCE) -> DataFrame:
     """(primary, secondary, same_strand, upstream, distance, seq, start, end) from either side.
 
     The right site is no primary of a pair of one motif.  With ``lengths`` (seq, length) sites
-    too close to an end of their sequence for all spacings are no primaries.
+    too close to an end of their sequence for all spacings are no primaries.  The pairs are made once.
     """
-    d = F.col("start2") - F.col("end1")
-    same = F.col("strand1") == F.col("strand2")
+    left, right = F.lit(True), F.col("motif1") != F.col("motif2")
     if lengths is not None:
         pairs = pairs.join(lengths, "seq")
         fits = lambda s, e, w: (F.col(s) >= distance + F.length(w)) & (F.col("length") - distance - F.length(w) > F.col(e) - 1)
-        left, right = pairs.where(fits("start1", "end1", "w2")), pairs.where(fits("start2", "end2", "w1"))
-    else:
-        left = right = pairs
-    a = left.select(F.col("motif1").alias("primary"), F.col("motif2").alias("secondary"), same.alias("same_strand"), (F.col("strand1") == "-").alias("upstream"), d.alias("distance"), "seq", F.col("start1").alias("start"), F.col("end2").alias("end"))
-    b = right.where("motif1 <> motif2").select(F.col("motif2").alias("primary"), F.col("motif1").alias("secondary"), same.alias("same_strand"), (F.col("strand2") == "+").alias("upstream"), d.alias("distance"), "seq", F.col("start1").alias("start"), F.col("end2").alias("end"))
-    return a.unionByName(b)
+        left, right = fits("start1", "end1", "w2"), right & fits("start2", "end2", "w1")
+    sides = pairs.withColumn("_left", F.explode(F.array(F.lit(True), F.lit(False)))).where(F.when(F.col("_left"), left).otherwise(right))
+    side = lambda a, b: F.when(F.col("_left"), a).otherwise(b)
+    return sides.select(
+        side(F.col("motif1"), F.col("motif2")).alias("primary"), side(F.col("motif2"), F.col("motif1")).alias("secondary"), (F.col("strand1") == F.col("strand2")).alias("same_strand"),
+        side(F.col("strand1") == "-", F.col("strand2") == "+").alias("upstream"), (F.col("start2") - F.col("end1")).alias("distance"), "seq", F.col("start1").alias("start"), F.col("end2").alias("end"),
+    )
 
 
 def histogram(spacings: DataFrame) -> DataFrame:
