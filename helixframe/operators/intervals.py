@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dna
 from ..session import ship
+from . import sequences
 
 #: Bases of a bin of the range joins.
 BIN = 1024
@@ -68,6 +69,27 @@ def erased(windows: DataFrame, sites: DataFrame) -> DataFrame:
     return windows.join(hit, ["seq", "pos"], "left_anti")
 
 
+def erased_free(seqs: DataFrame, sites: DataFrame, width: int) -> DataFrame:
+    """As :func:`erased`, of all known windows of ``width`` of the sequences (seq, s): those of the stretches between the sites.
+
+    Only tiles and sites are dealt out, never windows.
+    """
+    tile = sequences.TILE
+    cuts = intervals(sites).select("seq", "start", "end").distinct()
+    cuts = cuts.withColumn("tile", F.explode(F.sequence(F.greatest(F.lit(0), F.floor((F.col("start") - width + 1) / tile)), F.floor((F.col("end") - 1) / tile))))
+    before = W.partitionBy("seq", "tile").orderBy("start", "end").rowsBetween(W.unboundedPreceding, -1)
+    origin = F.col("tile") * tile
+    free = cuts.withColumn("from", F.coalesce(F.max("end").over(before), origin))
+    ahead = F.when(F.col("start") - F.col("from") >= width, F.struct((F.col("from") - origin).cast("int").alias("a"), (F.col("start") - origin).cast("int").alias("b")))
+    last = F.struct((F.max("end") - origin).cast("int").alias("a"), F.lit(tile + width - 1).alias("b"))
+    gaps = free.groupBy("seq", "tile").agg(F.concat(F.collect_list(ahead), F.array(last)).alias("gaps"))
+    whole = F.array(F.struct(F.lit(0).alias("a"), F.lit(tile + width - 1).alias("b")))
+    pieces = sequences.tiles(seqs, width).withColumn("tile", F.floor(F.col("offset") / tile)).join(gaps, ["seq", "tile"], "left").select("seq", "offset", "s", F.explode(F.coalesce("gaps", whole)).alias("x"))
+    pieces = pieces.select("seq", (F.col("offset") + F.col("x.a")).alias("pos"), F.substring("s", F.col("x.a") + 1, F.col("x.b") - F.col("x.a")).alias("s"))
+    found = pieces.select("seq", "pos", F.posexplode(dna.words(F.col("s"), width)).alias("i", "w")).select("seq", (F.col("pos") + F.col("i")).alias("pos"), "w")
+    return found.where(~dna.has_unknown(F.col("w")))
+
+
 def confusion(truth: DataFrame, predicted: DataFrame, seqs: DataFrame) -> DataFrame:
     """One row tp, fp, fn, tn in bases; interval sets (seq, start, end) without overlaps of their own."""
     size = lambda x, name: x.agg(F.coalesce(F.sum(F.col("end") - F.col("start")), F.lit(0)).cast("long").alias(name))

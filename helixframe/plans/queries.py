@@ -366,7 +366,7 @@ def site_overlap_amount(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def erased_windows(spark: SparkSession, d: str) -> DataFrame:
-    left = intervals.erased(sequences.windows(seqs(spark, d), 6), sites(spark, d))
+    left = intervals.erased_free(seqs(spark, d), sites(spark, d), 6)
     return left.groupBy("seq").agg(F.count("*").alias("n"))
 
 
