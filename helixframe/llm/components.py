@@ -62,11 +62,15 @@ def grouped(df: DataFrame, by: str, fn: Callable[[pa.Table], pa.Table | None], s
         rest: list[pa.RecordBatch] = []
 
         def parts(table: pa.Table) -> Iterator[pa.Table]:
-            if whole:
-                yield table
-                return
             key = table.column(by).to_numpy()
             cut = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
+            if whole:  # complete groups, up to a tile's rows together
+                a = 0
+                while a < len(key):
+                    b = int(cut[max(np.searchsorted(cut, a + TILE, side="right") - 1, np.searchsorted(cut, a, side="right"))])
+                    yield table.slice(a, b - a)
+                    a = b
+                return
             for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
                 if b - a > 1:
                     yield table.slice(a, b - a)

@@ -57,6 +57,8 @@ WIDE = PASSAGE - SHINGLE + 1
 LOST = 5
 #: Distinct paragraphs whose keys are sorted at once (a bucket's are never parted).
 CHUNK = 1 << 10
+#: Paragraphs of one bucket whose keys are held at once.
+PART = 1 << 12
 
 U = np.uint64
 _ODD = np.random.default_rng(20240301).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * U(2) + U(1)
@@ -289,40 +291,62 @@ class Windows:
         ends = np.flatnonzero(np.append(gid[1:] != gid[:-1], True)) + 1
         # a number for each content; paragraphs of several have one of their own
         some = np.where(self.lo == self.hi, self.lo, np.arange(self.n)).astype(U) ^ np.where(self.lo == self.hi, U(0), U(kernel.MULT))
-        some = (kernel.mix(some) >> U(40)).astype(np.float64)
+        some = (kernel.mix(some) >> U(40)).astype(np.float64) + 1  # none is 0, so that sums show it
         a = 0
         while a < self.n:  # whole buckets
             b = int(ends[min(len(ends) - 1, np.searchsorted(ends, a + CHUNK))])
             own = order[a:b]
             a = b
-            plain, looped = own[~loop[own]], own[loop[own]]
-            parts = [*(self.plain(plain) if len(plain) else ()), *(self.looped(looped) if len(looped) else ())]
-            which, rest, left, right = (np.concatenate(x) for x in zip(*parts, strict=True))
-            key = kernel.mix(rest ^ kernel.mix(self.gid[which]))
-            # slots where all entries are of one content hold no partners
-            bits = max(12, int(len(key)).bit_length() + 1)
-            slot, of = (key >> U(64 - bits)).astype(np.int64), some[which]
-            mean = np.bincount(slot, of, 1 << bits)
-            twice = np.flatnonzero(mean[slot] != of)
-            twice = twice[(np.bincount(slot, minlength=1 << bits)[slot[twice]] * of[twice]) != mean[slot[twice]]]
-            twice = twice[np.argsort(key[twice])]
-            k = key[twice]
-            if not len(k):
-                continue
-            new = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-            more = np.diff(np.append(new, len(k))) > 1
-            pick = np.repeat(more, np.diff(np.append(new, len(k))))
-            twice, k = twice[pick], k[pick]
-            if not len(k):
-                continue
-            new = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-            segment = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(k))))
-            w = which[twice]
-            lo, hi = np.minimum.reduceat(self.lo[w], new), np.maximum.reduceat(self.hi[w], new)
-            rank, head = np.minimum.reduceat(self.rank[w], new), np.minimum.reduceat(w, new)
-            ok = (lo != hi)[segment]
-            s, t = segment[ok], twice[ok]
-            yield w[ok], left[t], right[t], rank[s], lo[s], hi[s], head[s]
+            # equal keys share a remainder, so a large bucket is done by remainders, in the memory of ``PART`` paragraphs
+            rounds = 1 << (len(own) // PART).bit_length()
+            for r in range(rounds):
+                parts = [self._entries(own[i : i + PART], loop, rounds, r) for i in range(0, len(own), PART)]
+                which, key, left, right = (np.concatenate(x) for x in zip(*parts, strict=True))
+                # slots where all entries are of one content hold no partners
+                bits = max(12, int(len(key)).bit_length() + 1)
+                slot, of = (key >> U(64 - bits)).astype(np.int64), some[which]
+                mean = np.bincount(slot, of, 1 << bits)
+                twice = np.flatnonzero(mean[slot] != of)
+                twice = twice[(np.bincount(slot, minlength=1 << bits)[slot[twice]] * of[twice]) != mean[slot[twice]]]
+                twice = twice[np.argsort(key[twice])]
+                k = key[twice]
+                if not len(k):
+                    continue
+                new = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+                more = np.diff(np.append(new, len(k))) > 1
+                pick = np.repeat(more, np.diff(np.append(new, len(k))))
+                twice, k = twice[pick], k[pick]
+                if not len(k):
+                    continue
+                new = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+                segment = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(k))))
+                w = which[twice]
+                lo, hi = np.minimum.reduceat(self.lo[w], new), np.maximum.reduceat(self.hi[w], new)
+                rank, head = np.minimum.reduceat(self.rank[w], new), np.minimum.reduceat(w, new)
+                ok = (lo != hi)[segment]
+                s, t = segment[ok], twice[ok]
+                yield w[ok], left[t], right[t], rank[s], lo[s], hi[s], head[s]
+
+    def _entries(self, own: np.ndarray, loop: np.ndarray, rounds: int, r: int) -> tuple[np.ndarray, ...]:
+        """Of paragraphs ``own``: number, key of what remains, shingles missing at the start and end, for keys of remainder ``r``."""
+        plain, looped = own[~loop[own]], own[loop[own]]
+        parts = [*(self.plain(plain) if len(plain) else ()), *(self.looped(looped) if len(looped) else ())]
+        which, rest, left, right = (np.concatenate(x) for x in zip(*parts, strict=True))
+        key = kernel.mix(rest ^ kernel.mix(self.gid[which]))
+        if rounds == 1:
+            return which, key, left, right
+        keep = (key & U(rounds - 1)) == U(r)
+        return which[keep], key[keep], left[keep], right[keep]
+
+
+def _least(cols: np.ndarray) -> np.ndarray:
+    """Of rows (paragraph, left, right, first document) of equal first three the least."""
+    if not cols.shape[1]:
+        return cols
+    cell = (cols[0] * WIDE + cols[1]) * WIDE + cols[2]
+    order = np.argsort(cell, kind="stable")
+    new = np.flatnonzero(np.concatenate([[True], cell[order][1:] != cell[order][:-1]]))
+    return np.stack([*cols[:3, order[new]], np.minimum.reduceat(cols[3, order], new)])
 
 
 def _verify(t: pa.Table) -> pa.Table | None:
@@ -350,12 +374,12 @@ def _verify(t: pa.Table) -> pa.Table | None:
         keep = ~(twin[which] & (w.rank[which] <= r))  # equal ones say as much
         cols = np.stack([which, left, right, r])[:, keep]
         if cols.shape[1]:
-            cell = (cols[0] * WIDE + cols[1]) * WIDE + cols[2]
-            order = np.argsort(cell, kind="stable")
-            new = np.flatnonzero(np.concatenate([[True], cell[order][1:] != cell[order][:-1]]))
-            records.append(np.stack([*cols[:3, order[new]], np.minimum.reduceat(cols[3, order], new)]))
-        links.append((own[which], own[head]))
-    found = np.concatenate(records, axis=1)
+            records.append(_least(cols))
+        if len(records) > 16:
+            records = [_least(np.concatenate(records, axis=1))]
+        pair = np.unique(own[which] * len(gid) + own[head])
+        links.append((pair // len(gid), pair % len(gid)))
+    found = _least(np.concatenate(records, axis=1))
     if not found.shape[1]:
         return None
     # to the runs that have the paragraph, neighbours with one answer together
